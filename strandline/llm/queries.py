@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from ..plans.registry import Registry
-from . import p03_queries, p04_queries
+from . import p03_queries, p04_queries, p08_queries, p09_queries
 
 R = Registry()
-for _m in (p03_queries, p04_queries):
+for _m in (p03_queries, p04_queries, p08_queries, p09_queries):
     R.queries.update(_m.R.queries)
     R.sql.update(_m.R.sql)
