@@ -59,6 +59,8 @@ def within(eq: dict[int, int], m: int, text: list[int], budget: int) -> bool:
     (Myers' recurrence, free start and end in the text)."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
+    if score <= budget:
+        return True
     for c in text:
         e = eq.get(c, 0)
         xv = e | mv
