@@ -93,7 +93,7 @@ def _agree(a: str, b: str) -> bool:
 
 
 def near(a: str, b: str) -> bool:
-    """At most two slips apart."""
+    """At most one slip and one missing or extra letter apart."""
     return one_slip(a, b) or any(one_slip(x, b) for x in deletions(a)) or any(one_slip(a, x) for x in deletions(b))
 
 
