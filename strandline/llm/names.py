@@ -12,6 +12,9 @@
    What it adds (spellings, mailboxes) makes the profile richer, so the
    profiles enter blocking again, until no round merges anything.
 
+The merging runs inside families: evidence connected through surnames (equal or
+one slip apart) and personal mailboxes, found by distributed components.
+
 Scale: records with equal evidence are one node, so a name that a third of all
 records carry is one row. A block of the slip search holds strings that become
 equal by one deletion: at most 27 times their length, whatever the table size.
@@ -297,7 +300,88 @@ def _slip(a: str, b: str):
     return (d <= 1) | swap
 
 
-def resolve(records: DataFrame, max_rounds: int = 6) -> DataFrame:
+def resolve_family(rows: list[tuple[int, list[str], list[str], str | None]]) -> dict[int, int]:
+    """Merge and rematch inside one family: (nid, full keys "surname|given",
+    loose keys "surname|initial", mailbox) -> nid of the author."""
+    up = {r[0]: r[0] for r in rows}
+
+    def find(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(x: int, y: int) -> None:
+        x, y = find(x), find(y)
+        up[max(x, y)] = min(x, y)
+
+    # equal spellings, then typing slips between spellings
+    key_row: dict[str, int] = {}
+    mailed: set[str] = set()
+    for nid, full, _, box in rows:
+        for k in full:
+            join(nid, key_row.setdefault(k, nid))
+        if full and box:
+            mailed.add(full[0])
+    seen: dict[tuple[str, str, int], list[str]] = {}
+    for k in sorted(key_row):
+        sn, _, gn = k.partition("|")
+        blocks = [(gn, d, 0) for d in deletions(sn)] if len(sn) >= 6 else []
+        blocks += [(sn, d, 1) for d in deletions(gn)] if len(gn) >= 4 and gn[0] != "#" else []
+        for b in blocks:
+            for o in seen.get(b, ()):
+                so, _, go = o.partition("|")
+                if (b[2] == 0 and not (k in mailed and o in mailed) and one_slip(sn, so)) or (b[2] == 1 and not (gn in GIVEN and go in GIVEN) and one_slip(gn, go)):
+                    join(key_row[k], key_row[o])
+            seen.setdefault(b, []).append(k)
+    # loose evidence joins the only profile that fits; profiles grow and rematch
+    loose = [r for r in rows if not r[1] and (r[2] or r[3])]
+    claimed: set[int] = set()
+    todo = loose
+    while todo:
+        by_key: dict[str, set[tuple[int, str]]] = {}
+        by_box: dict[str, set[int]] = {}
+        initials: dict[int, set[str]] = {}
+        for nid, full, _, _ in rows:
+            for k in full:
+                initials.setdefault(find(nid), set()).add(k.partition("|")[2][0])
+        for nid, full, lo, box in rows:
+            r = find(nid)
+            if r not in initials:
+                continue
+            if box:
+                by_box.setdefault(box, set()).add(r)
+            for k in [*full, *lo]:
+                sn = k.partition("|")[0]
+                for d in deletions(sn) if len(sn) >= 7 else (sn,):
+                    by_key.setdefault(d, set()).add((r, sn))
+        rest = []
+        for row in todo:
+            nid, _, lo, box = row
+            parts = [k.partition("|")[::2] for k in lo]
+            fit = {r for r in by_box.get(box or "", ()) if not parts or any(not i or i in initials[r] for _, i in parts)}
+            exact = {r for sn, i in parts for r, o in by_key.get(sn, ()) if o == sn and (not i or i in initials[r])}
+            slip = {r for sn, i in parts if i and len(sn) >= 7 for d in deletions(sn) for r, o in by_key.get(d, ()) if one_slip(sn, o) and i in initials[r]}
+            best = fit or exact or slip
+            if best:
+                claimed.add(nid)
+            if len(best) == 1:
+                join(nid, next(iter(best)))
+            else:
+                rest.append(row)
+        if len(rest) == len(todo):
+            break
+        todo = rest
+    # what no profile claims: equal surname and initial, or equal mailbox
+    same: dict[str, int] = {}
+    for nid, _, lo, box in loose:
+        if nid not in claimed:
+            for k in [x for x in lo if not x.endswith("|")] + ([f"@{box}"] if box else []):
+                join(nid, same.setdefault(k, nid))
+    return {r[0]: find(r[0]) for r in rows}
+
+
+def resolve(records: DataFrame) -> DataFrame:
     """(record_id, entity): entity is the smallest record_id of the author.
 
     ``records`` has record_id, name and email. Null ids take no part; a record
@@ -306,71 +390,40 @@ def resolve(records: DataFrame, max_rounds: int = 6) -> DataFrame:
     """
     rec = once(records.select("record_id", F.col("name").cast("string").alias("name"), F.col("email").cast("string").alias("email")).filter("record_id IS NOT NULL"), "record_id")
     ev = cut(_evidence(rec))
-    # equal evidence is one node
-    node = ev.groupBy("kind", "full", "loose", "box").agg(F.min("record_id").alias("nid"))
-    node = cut(node)
-    # the profiles' spellings: (spelling "surname|given", node)
-    spell = cut(node.select("nid", "box", F.explode("full").alias("key"), (F.element_at("full", 1)).alias("first_key")))
-    own = cut(spell.groupBy("key").agg(F.min("nid").alias("rep"), F.max((F.col("box").isNotNull() & (F.col("key") == F.col("first_key"))).cast("int")).alias("mailed")))
-    s = own.withColumn("sn", F.substring_index("key", "|", 1)).withColumn("gn", F.substring_index("key", "|", -1))
-    # typing slips in the surname (same given name) and in the given name
-    d1 = _with_deletions(s.filter(F.length("sn") >= 6), "sn", "d")
-    x = d1.select("gn", "d", F.col("sn").alias("sa"), F.col("rep").alias("ra"), F.col("mailed").alias("ma"))
-    y = d1.select("gn", "d", F.col("sn").alias("sb"), F.col("rep").alias("rb"), F.col("mailed").alias("mb"))
-    slip1 = x.join(y, ["gn", "d"]).filter("sa < sb").filter(_slip("sa", "sb")).filter("ma + mb < 2").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    d2 = _with_deletions(s.filter((F.length("gn") >= 4) & ~F.col("gn").startswith("#")), "gn", "d")
-    known = F.col("gn").isin(sorted(GIVEN))
-    x = d2.select("sn", "d", F.col("gn").alias("ga"), F.col("rep").alias("ra"), known.alias("ka"))
-    y = d2.select("sn", "d", F.col("gn").alias("gb"), F.col("rep").alias("rb"), known.alias("kb"))
-    slip2 = x.join(y, ["sn", "d"]).filter("ga < gb AND NOT (ka AND kb)").filter(_slip("ga", "gb")).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    alias = spell.join(own, "key").select(F.col("nid").alias("a"), F.col("rep").alias("b"))
-    edges = cut(alias.union(slip1).union(slip2).distinct())
-    loose = cut(node.filter("kind = 'person' AND size(full) = 0").select("nid", "box", "loose"))
-    full_node = node.filter("size(full) > 0").select("nid", "box")
-    before = -1
-    for _ in range(max_rounds):
-        comp = components(edges)
-        root = cut(node.select("nid").join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("root", "nid").alias("root")))
-        # what a profile is known by: spellings and mailboxes of all its nodes
-        linked = loose.join(root, "nid")
-        prof = spell.join(root, "nid").select("root", F.substring_index("key", "|", 1).alias("sn"), F.substring(F.substring_index("key", "|", -1), 1, 1).alias("i")).distinct()
-        init = prof.select("root", "i").distinct()
-        more = linked.filter("nid <> root").select("root", F.explode("loose").alias("l")).select("root", F.substring_index("l", "|", 1).alias("sn")).join(init, "root")
-        prof = prof.unionByName(more.select("root", "sn", "i")).distinct()
-        boxes = full_node.join(root, "nid").select("root", "box").union(linked.filter("nid <> root").select("root", "box")).filter("box IS NOT NULL").distinct()
-        boxes = boxes.join(init, "root")
-        todo = linked.filter("nid = root").select("nid", "box", F.explode_outer("loose").alias("l"))
-        todo = todo.select("nid", "box", F.substring_index("l", "|", 1).alias("sn"), F.nullif(F.substring_index("l", "|", -1), F.lit("")).alias("i"))
-        fits = F.col("q.i").isNull() | (F.col("p.i") == F.col("q.i"))
-        by_box = todo.alias("q").join(boxes.alias("p"), (F.col("q.box") == F.col("p.box")) & fits).select("q.nid", "p.root", F.lit(1).alias("how"))
-        by_name = todo.alias("q").join(prof.alias("p"), (F.col("q.sn") == F.col("p.sn")) & fits).select("q.nid", "p.root", F.lit(2).alias("how"))
-        qd = _with_deletions(todo.filter(F.length("sn") >= 7), "sn", "d")
-        pd_ = _with_deletions(prof.filter(F.length("sn") >= 7), "sn", "d")
-        by_slip = (
-            qd.alias("q").join(pd_.alias("p"), (F.col("q.d") == F.col("p.d")) & F.col("q.i").isNotNull() & (F.col("p.i") == F.col("q.i")))
-            .select("q.nid", "p.root", F.col("q.sn").alias("sa"), F.col("p.sn").alias("sb")).filter(_slip("sa", "sb"))
-            .select("nid", "root", F.lit(3).alias("how"))
-        )
-        cand = by_box.union(by_name).union(by_slip).distinct()
-        best = cand.groupBy("nid").agg(F.min("how").alias("how"))
-        pick = cand.join(best, ["nid", "how"]).groupBy("nid").agg(F.min("root").alias("root"), F.countDistinct("root").alias("n")).filter("n = 1")
-        edges = cut(edges.union(pick.select(F.col("nid").alias("a"), F.col("root").alias("b"))).distinct())
-        n = edges.count()
-        if n == before:
-            break
-        before = n
-    # what no profile claims: equal surname and initial, or equal mailbox
-    comp = components(edges)
-    root = cut(node.select("nid").join(comp.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("root", "nid").alias("root")))
-    left = loose.join(root, "nid").filter("nid = root").join(cand.select("nid").distinct(), "nid", "left_anti")
-    by = left.filter("size(loose) > 0").select("nid", F.explode("loose").alias("k")).filter(~F.col("k").endswith("|")).union(left.filter("box IS NOT NULL").select("nid", "box"))
-    star = by.join(by.groupBy("k").agg(F.min("nid").alias("b")), "k").select(F.col("nid").alias("a"), "b")
-    comp = components(edges.union(star))
-    root = node.join(comp.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    cond = [F.col(f"e.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("kind", "full", "loose", "box")]
-    # a record that says nothing stays alone
-    silent = (F.size("e.full") == 0) & (F.size("e.loose") == 0) & F.col("e.box").isNull()
-    return ev.alias("e").join(root.alias("n"), cond).select("e.record_id", F.when(silent, F.col("e.record_id")).otherwise(F.col("n.root")).alias("entity"))
+    same = ["kind", "full", "loose", "box"]
+    node = cut(ev.groupBy(*same).agg(F.min("record_id").alias("nid")).filter(F.coalesce(F.size("full") + F.size("loose"), F.lit(0)).cast("int") + F.col("box").isNotNull().cast("int") > 0))
+    # families: evidence linked to its surnames, to surnames one slip away and
+    # to its mailbox
+    own = node.select("nid", F.explode("full").alias("k")).select("nid", F.substring_index("k", "|", 1).alias("sn"), F.substring_index("k", "|", -1).alias("gn"))
+    spelled = cut(own.select("sn", "gn").distinct())
+    loose = node.filter("size(full) = 0").select("nid", F.explode("loose").alias("k"))
+    loose = loose.select("nid", "k", F.substring_index("k", "|", 1).alias("sn"), F.substring_index("k", "|", -1).alias("i"))
+    token = lambda kind, c: F.concat(F.lit(kind), F.col(c))
+    row = F.concat(F.lit("R:"), F.col("nid").cast("string"))
+    known = spelled.select("sn", F.substring("gn", 1, 1).alias("g")).distinct()
+    d1 = _with_deletions(spelled.filter("length(sn) >= 6"), "sn", "d")
+    x = d1.select("gn", "d", F.col("sn").alias("sa")).join(d1.select("gn", "d", F.col("sn").alias("sb")), ["gn", "d"]).filter("sa < sb").filter(_slip("sa", "sb"))
+    q = _with_deletions(loose.filter("length(sn) >= 7 AND i <> ''").select("nid", "sn", F.col("i").alias("g")), "sn", "d").withColumnRenamed("sn", "sa")
+    p = _with_deletions(known.filter("length(sn) >= 7"), "sn", "d").withColumnRenamed("sn", "sb")
+    near_ = q.join(p, ["g", "d"]).filter(_slip("sa", "sb"))
+    edges = (
+        own.select(row.alias("a"), token("S:", "sn").alias("b"))
+        .union(x.select(token("S:", "sa"), token("S:", "sb")))
+        .union(loose.join(spelled.select("sn").distinct(), "sn", "left_semi").select(row, token("S:", "sn")))
+        .union(near_.select(row, token("S:", "sb")))
+        .union(loose.filter("i <> ''").select(row, token("L:", "k")))
+        .union(node.filter("box IS NOT NULL").select(row, token("B:", "box")))
+    )
+    family = components(edges).filter(F.col("node").startswith("R:")).select(F.substring("node", 3, 30).cast("bigint").alias("nid"), F.col("root").alias("family"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = resolve_family([(int(n), list(f), list(lo), b if isinstance(b, str) else None) for n, f, lo, b in zip(pdf["nid"], pdf["full"], pdf["loose"], pdf["box"])])
+        return pd.DataFrame({"nid": list(got), "entity": list(got.values())})
+
+    merged = node.join(family, "nid").select("family", "nid", "full", "loose", "box").groupBy("family").applyInPandas(merge, "nid bigint, entity bigint")
+    named = node.join(merged, "nid").select(*[F.col(c).alias(f"n_{c}") for c in same], "entity")
+    cond = [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in same]
+    return ev.join(named, cond, "left").select("record_id", F.coalesce("entity", "record_id").alias("entity"))
 
 
 def variant_pairs(records: DataFrame) -> DataFrame:
