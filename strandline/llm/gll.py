@@ -24,6 +24,8 @@ import re
 from collections import defaultdict
 
 EOF = "EOF"
+#: the automatic end of statement
+EOS = "<eos>"
 _TOKEN = re.compile(r"\s*(?:'((?:\\.|[^'])*)'|([A-Za-z_]\w*)|([|()*+?~]))")
 
 
@@ -78,7 +80,7 @@ class Grammar:
                         raise ValueError("missing )")
                     pos += 1
                 elif t == ("o", "~"):
-                    x = ("sym", "~", True)
+                    x = ("sym", EOS, True)
                 elif t[0] == "t":
                     x = ("sym", t[1], True)
                 elif t[0] == "n":
@@ -143,18 +145,18 @@ class Grammar:
         words = {EOF, "}", "ID"} | set(self.contextual) | set(self.reserved)
         for n in names:
             for edges, _ in autos[n]:
-                words |= {s for k, s in edges if k == "t" and s != "~"}
+                words |= {s for k, s in edges if k == "t" and s not in (EOS, "NAME")}
         self.tokens = {w: i for i, w in enumerate(sorted(words))}
         self.id_like = {"ID", *self.contextual}
 
         def members(s: str) -> list[tuple[int, str]]:
             """(token code * 2 + newline flag, move) a terminal stands for."""
-            if s == "~":
+            if s == EOS:
                 return [(c * 2 + nl, "e") for w, c in self.tokens.items() for nl in (0, 1) if nl or w in ("}", EOF)]
             ws = self.id_like if s == "ID" else self.id_like | set(self.reserved) if s == "NAME" else {s}
             return [(self.tokens[w] * 2 + nl, "t") for w in ws for nl in (0, 1)]
 
-        codes = {s: {c for c, _ in members(s)} for s in words | {"~", "NAME"}}
+        codes = {s: {c for c, _ in members(s)} for s in words | {EOS, "NAME"}}
         cover = lambda ss: set().union(*[codes[s] for s in ss]) if ss else set()
         self.table: list[dict[int, list[tuple]]] = []
         for n in names:
