@@ -90,7 +90,7 @@ _tsdecl = 'interface' ID _tpar? ('extends' type (',' type)*)? tobject | 'type' I
 | ('namespace' | 'module') (_qname | 'STR') nsbody | 'declare' ('global' nsbody | _tsdecl2) | 'import' ID '=' _qname _eos
 _tsdecl2 = ('var' | 'let' | 'const') _vdecls _eos | fndecl | classdecl | tsdeclaration | 'module' 'STR' _eos
 tsdeclaration = 'interface' ID _tpar? ('extends' type (',' type)*)? tobject | 'type' ID _tpar? '=' type _eos | 'const'? 'enum' ID '{' (_enumm (',' _enumm)* ','?)? '}' | ('namespace' | 'module') (_qname | 'STR') nsbody
-nsbody = '{' _mitem* '}'
+nsbody = '{' (_mitem | 'export'? 'const' _vdecls _eos)* '}'
 _enumm = (NAME | 'STR' | '[' assign ']') ('=' assign)?
 _qname = ID ('.' NAME)*
 _tpar = '<' _tparam (',' _tparam)* ','? '>'
