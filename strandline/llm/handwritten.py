@@ -55,11 +55,13 @@ _GENERATED = re.compile(r"(?i)\bauto-?generated\b(?! (?:files?|code)\b.*(?:skip|
 _NOT_GENERATED = re.compile(r"(?i)not (?:auto-?)?generated|edit it freely|by hand\.|method stub|marked as|keep in step")
 _FOREIGN = re.compile(r"(?im)^\W*([\w.-]+) v\d+\.\d+|^\W*(https?://\S+)|(?:part of|held by the) ([\w.-]+)|^\W*([\w.-]+) - see NOTICE")
 _TOKEN = re.compile(r"[A-Za-z_$]\w*|\d[\w.]*|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|[^\w\s]")
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f]+")
+_LONG_TEXT = re.compile(r"\"[^\"\\\n]{60,}\"|'[^'\\\n]{60,}'|`[^`\\\n]{60,}`")
 _COMMENT = re.compile(r"//[^\n]*|/\*.*?\*/|#[^\n]*|\"\"\".*?\"\"\"|'''.*?'''", re.S)
 _PERM = np.random.default_rng(3).integers(1, 2**61 - 1, size=(2, BANDS * ROWS), dtype=np.uint64)
 
 FEATURES = (
-    "ratio entropy ident_mean ident_short ident_under comment line_mean line_max size distinct space digit shapes top_shape accessor ext "
+    "ratio entropy ident_mean ident_short ident_under comment line_mean line_max line_median rest size distinct space digit shapes top_shape accessor ext "
     "vendor built gen_path min_path stem_package near_copy"
 ).split()
 
@@ -84,6 +86,7 @@ def notice(project: str | None, text: str) -> bool:
 def features(path: str | None, text: str) -> list[float]:
     """Content and path features (the last two are filled in by joins)."""
     path = path or ""
+    text = _CONTROL.sub("", text)
     body = text[len(_LEADING.match(text)[0]) :].strip()
     raw = body.encode("utf-8", "replace")
     toks = _TOKEN.findall(body)
@@ -91,13 +94,14 @@ def features(path: str | None, text: str) -> list[float]:
     count = Counter(t if t[0] not in "\"'0123456789" else t[0] for t in toks)
     ids = [t for t in toks if t[0].isalpha() or t[0] in "_$"]
     k = max(1, len(ids))
-    lines = [ln.strip() for ln in body.split("\n") if ln.strip()]
+    # one long text in quotes does not make a line a pressed one
+    lines = [ln.strip() for ln in _LONG_TEXT.sub('"s"', body).split("\n") if ln.strip()]
     shape = Counter(re.sub(r"\w+", "w", re.sub(r"\"[^\"]*\"|'[^']*'", "s", ln[:200])) for ln in lines)
     m = max(1, len(lines))
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)), -sum(c / n * math.log2(c / n) for c in count.values()), sum(map(len, ids)) / k,
         sum(len(t) < 3 for t in ids) / k, sum(t.endswith("_") or t.isupper() for t in ids) / k, sum(map(len, _COMMENT.findall(body))) / max(1, len(body)),
-        len(body) / m, math.log1p(max(map(len, lines), default=0)), math.log1p(len(body)), len(count) / n, sum(ch.isspace() for ch in body) / max(1, len(body)),
+        sum(map(len, lines)) / m, math.log1p(max(map(len, lines), default=0)), math.log1p(sorted(map(len, lines))[m // 2] if lines else 0), 1 - max(map(len, lines), default=0) / max(1, sum(map(len, lines))), math.log1p(len(body)), len(count) / n, sum(ch.isspace() for ch in body) / max(1, len(body)),
         sum(ch.isdigit() for ch in body) / max(1, len(body)), len(shape) / m, max(shape.values(), default=0) / m,
         len(re.findall(r"\b[gs]et[A-Z_]\w*|FIELD_NUMBER|_get\(|_set\(", body)) / m, (zlib.crc32(path.rpartition(".")[2].lower().encode()) % 97) / 97,
         float(bool(_VENDOR.search(path))), float(bool(_BUILT.search(path))), float(bool(_GEN_PATH.search(path))), float(bool(_MIN_PATH.search(path))), 0.0, 0.0,
@@ -131,7 +135,7 @@ class Forest:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) for c in x.T]
         b = self._bin(x)
         n, f = b.shape
-        tries = max(2, int(math.sqrt(f)) + 1)
+        tries = max(2, f // 2)
         self.trees = []
         votes, seen = np.zeros(n), np.zeros(n)
         for _ in range(trees):
