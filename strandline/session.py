@@ -55,3 +55,25 @@ def once(df: DataFrame, *key: str) -> DataFrame:
     explicit repartition keeps AQE from folding the rows into a few tasks,
     and dropDuplicates reuses it, so there is one exchange."""
     return df.repartition(tasks(df.sparkSession), *key).dropDuplicates(list(key))
+
+
+_SHIPPED: dict[str, bool] = {}
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that they
+    need no shared installation of it."""
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent
+    if here.is_dir() and not any(p.suffix == ".zip" for p in here.parents):
+        folder = tempfile.mkdtemp(prefix="strandline-")
+        copy = Path(folder, "src", here.name)
+        shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__"))
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "strandline_package"), "zip", copy.parent))
+    _SHIPPED[app] = True
