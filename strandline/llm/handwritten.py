@@ -2,8 +2,11 @@
 
 A random forest decides, trained here on a bounded sample of rows. Labels come
 from notices: header comments that name a generator, a foreign package or
-licence, or a delivery banner, and texts that are almost only literals. What
-gives the label is hidden from the features: leading comments are cut off, and
+licence, or a delivery banner, from texts that are almost only literals, and
+from near copies in several projects (but for the one whose own notice it
+bears). Copies
+of one library are one example, so the forest can't learn a library by heart.
+What gives the label is hidden from the features: leading comments are cut off, and
 no literal share is used. Features are compression ratio, token entropy,
 identifier lengths, comment density, line shapes, path hints, whether the same
 code (small changes allowed) lies in another project, and whether the file is
@@ -40,7 +43,7 @@ SAMPLE_ROWS = 20_000
 BANDS, ROWS = 20, 3
 NEAR = 0.55
 MIN_SHINGLES = 12
-TREES, DEPTH = 60, 10
+TREES, DEPTH, LEAF = 60, 10, 4
 THRESHOLD = 0.5
 #: rounds of relabelling, and the part of the mean labelled score that relabels
 ROUNDS, CANDIDATE = 2, 0.25
@@ -83,6 +86,12 @@ def notice(project: str | None, text: str) -> bool:
     return lit > 0.6 * max(1, sum(1 for ch in body if not ch.isspace()))
 
 
+def own_notice(project: str | None, text: str) -> bool:
+    """Whether a notice names the file's own project."""
+    head = _LEADING.match(text)[0]
+    return any((m[3] or m[4] or "").rstrip(".").lower() == (project or "").lower() != "" for m in _FOREIGN.finditer(head))
+
+
 def features(path: str | None, text: str) -> list[float]:
     """Content and path features (the last two are filled in by joins)."""
     path = path or ""
@@ -157,7 +166,7 @@ class Forest:
                     tot = np.bincount(b[rows, j], minlength=k).cumsum()[:-1]
                     pos = np.bincount(b[rows, j], weights=y[rows], minlength=k).cumsum()[:-1]
                     r_tot, r_pos = len(rows) - tot, y[rows].sum() - pos
-                    ok = (tot >= 2) & (r_tot >= 2)
+                    ok = (tot >= LEAF) & (r_tot >= LEAF)
                     with np.errstate(all="ignore"):
                         g = np.where(ok, base - pos * (1 - pos / tot) - r_pos * (1 - r_pos / r_tot), -1)
                     i = int(g.argmax())
@@ -242,7 +251,7 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """
     spark = files.sparkSession
     rows = once(files.select("file_id", "project_id", "file_path", "content").filter("file_id IS NOT NULL"), "file_id")
-    schema = "file_id bigint, project string, stem string, package string, body bigint, sig array<bigint>, x array<double>, label boolean, empty boolean"
+    schema = "file_id bigint, project string, stem string, package string, body bigint, sig array<bigint>, x array<double>, label boolean, own boolean, empty boolean"
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -256,16 +265,19 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
                 sig = signature(text)
                 body = zlib.crc32(text.encode("utf-8", "replace")) if sig is None else hash(tuple(sig)) & (2**62 - 1)
                 empty = not text.strip("﻿ \t\n\f")
-                out.append((fid, pid, stem, pack[1].lower() if pack else None, body, sig, features(path, text), False if empty else notice(pid, text), empty))
+                out.append((fid, pid, stem, pack[1].lower() if pack else None, body, sig, features(path, text), False if empty else notice(pid, text), own_notice(pid, text), empty))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     got = cut(rows.mapInPandas(read, schema))
     near = _near_copies(got.filter("sig IS NOT NULL").select("body", "project", "sig")).withColumn("near", F.lit(1.0))
     packs = got.filter("package IS NOT NULL").select(F.col("package").alias("stem")).distinct().withColumn("named", F.lit(1.0))
     full = got.join(near, "body", "left").join(packs, "stem", "left")
-    full = full.select("file_id", "label", "empty", F.concat(F.slice("x", 1, len(FEATURES) - 2), F.array(F.coalesce("named", F.lit(0.0)), F.coalesce("near", F.lit(0.0)))).alias("x"))
+    # one library, however many copies, is one example
+    example = F.coalesce("package", F.when(F.col("named").isNotNull(), F.col("stem")), F.concat(F.lit("#"), F.col("file_id").cast("string")))
+    full = full.select("file_id", (F.col("label") | (F.col("near").isNotNull() & ~F.col("own"))).alias("label"), "empty", example.alias("example"), F.concat(F.slice("x", 1, len(FEATURES) - 2), F.array(F.coalesce("named", F.lit(0.0)), F.coalesce("near", F.lit(0.0)))).alias("x"))
     full = cut(full)
-    sample = full.filter("NOT empty").orderBy(F.xxhash64("file_id"), "file_id").limit(sample_rows).select("x", "label").toPandas()
+    each = full.filter("NOT empty").groupBy("example").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("file_id").alias("h"), "file_id", "x")).alias("s"))
+    sample = each.orderBy("s.h", "s.file_id").limit(sample_rows).select(F.col("s.x").alias("x"), "label").toPandas()
     y = sample["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return full.select("file_id", F.when(F.col("empty"), 0.0).otherwise(F.col("label").cast("double")).alias("score"))
