@@ -31,7 +31,7 @@ from ..session import cut, once
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: the split pattern that belongs to this vocabulary (fixed value)
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BLOCK_TOKENS = 2048
+BLOCK_TOKENS = 512
 #: hash ranges per source and repeat
 RANGES = 1024
 PHI = 0.6180339887498949
