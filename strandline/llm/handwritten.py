@@ -15,7 +15,8 @@ named like a package seen in a vendor folder.
 Files without a notice are unlabelled, not negative: after the first fit, files
 whose out-of-bag score reaches a part of the mean of labelled files (Elkan and
 Noto's estimate of how many bear a notice) count as positive, and the forest is
-fitted again.
+fitted again. Labels only fit: every file, labelled or not, gets the mean vote
+of the trees that did not draw its example, so a false label can be outvoted.
 
 Scale: one pass over the files makes features and min-hash signatures; near
 copies are found by banding, where each band bucket keeps leaders and compares
@@ -147,6 +148,8 @@ class Forest:
         tries = max(2, f // 2)
         self.trees = []
         votes, seen = np.zeros(n), np.zeros(n)
+        # bit t of an example: tree t has not seen it
+        self.unseen = np.zeros(n, dtype=np.int64)
         for _ in range(trees):
             pick = rng.integers(0, n, n)
             tree: list[tuple] = []
@@ -187,6 +190,7 @@ class Forest:
             out[pick] = False
             votes[out] += self._run(arr, b[out])
             seen[out] += 1
+            self.unseen[out] |= np.int64(1) << np.int64(len(self.trees) - 1)
         self.oob = votes / np.maximum(seen, 1)
 
     def _bin(self, x: np.ndarray) -> np.ndarray:
@@ -204,9 +208,18 @@ class Forest:
             at = np.where(go, np.where(left, tree[at, 2], tree[at, 3]).astype(np.int64), at)
         return tree[at, 4]
 
-    def score(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray, unseen: np.ndarray | None = None) -> np.ndarray:
+        """Mean vote of the trees; with ``unseen`` (bits as in ``self.unseen``,
+        -1 for all trees) of those trees only that have not seen the row."""
         b = self._bin(x)
-        return sum(self._run(t, b) for t in self.trees) / len(self.trees)
+        if unseen is None:
+            unseen = np.full(len(b), -1, dtype=np.int64)
+        votes, n = np.zeros(len(b)), np.zeros(len(b))
+        for k, t in enumerate(self.trees):
+            ok = (unseen >> np.int64(k)) & 1 == 1
+            votes[ok] += self._run(t, b[ok])
+            n += ok
+        return votes / np.maximum(n, 1)
 
 
 def _near_copies(sig: DataFrame) -> DataFrame:
@@ -247,7 +260,8 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
     ``files`` has file_id, project_id, file_path and content. Null ids take no
     part; null and empty texts score 0; repeated rows count once; an empty
-    table gives no rows; other columns are ignored.
+    table gives no rows; other columns are ignored. Where all labels are equal
+    there is nothing to fit, and the score is the label.
     """
     spark = files.sparkSession
     rows = once(files.select("file_id", "project_id", "file_path", "content").filter("file_id IS NOT NULL"), "file_id")
@@ -277,7 +291,7 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     full = full.select("file_id", (F.col("label") | (F.col("near").isNotNull() & ~F.col("own"))).alias("label"), "empty", example.alias("example"), F.concat(F.slice("x", 1, len(FEATURES) - 2), F.array(F.coalesce("named", F.lit(0.0)), F.coalesce("near", F.lit(0.0)))).alias("x"))
     full = cut(full)
     each = full.filter("NOT empty").groupBy("example").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("file_id").alias("h"), "file_id", "x")).alias("s"))
-    sample = each.orderBy("s.h", "s.file_id").limit(sample_rows).select(F.col("s.x").alias("x"), "label").toPandas()
+    sample = each.orderBy("s.h", "s.file_id").limit(sample_rows).select(F.col("s.x").alias("x"), "label", "example").toPandas()
     y = sample["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return full.select("file_id", F.when(F.col("empty"), 0.0).otherwise(F.col("label").cast("double")).alias("score"))
@@ -288,12 +302,15 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
         c = float(forest.oob[told == 1].mean())
         y = np.where((told == 1) | (forest.oob >= CANDIDATE * c), 1.0, 0.0)
         forest = Forest(x, y)
-    shared = spark.sparkContext.broadcast(forest)
+    shared = spark.sparkContext.broadcast((forest, dict(zip(sample["example"], forest.unseen.tolist()))))
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trained, unseen = shared.value
         for f in frames:
-            s = shared.value.score(np.stack(f["x"].to_numpy())) if len(f) else np.empty(0)
-            yield pd.DataFrame({"file_id": f["file_id"], "score": np.where(f["empty"], 0.0, np.where(f["label"], np.maximum(s, 1.0), s))})
+            # an example that was drawn is judged by the trees that did not draw it
+            bits = np.array([unseen.get(e, -1) for e in f["example"]], dtype=np.int64)
+            s = trained.score(np.stack(f["x"].to_numpy()), bits) if len(f) else np.empty(0)
+            yield pd.DataFrame({"file_id": f["file_id"], "score": np.where(f["empty"], 0.0, s)})
 
     return full.mapInPandas(score, "file_id bigint, score double")
 

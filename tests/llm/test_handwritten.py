@@ -52,3 +52,22 @@ def test_scores(spark):
     assert len(found & set(range(1000, 1040))) >= 38 and len([k for k in found if k < 1000]) <= 4
     assert {2000, 2001, 2002} <= found
     assert machine_files(df.limit(0)).collect() == []
+
+
+def test_false_label_is_outvoted(spark):
+    rnd = random.Random(11)
+    words = "window table reader branch commit folder module parser graph leaf token report".split()
+
+    def hand():
+        return "\n".join(f"function {rnd.choice(words)}{k}(x) {{\n    const {rnd.choice(words)}{rnd.randrange(99)} = load(x, {rnd.randrange(99)});\n    if (x.{rnd.choice(words)}) {{\n        return {rnd.choice(words)}(x);\n    }}\n    return null;\n}}\n" for k in range(rnd.randrange(5, 12)))
+
+    def pressed():
+        return "(()=>{" + ";".join(f"var {rnd.choice('abcdefgh')}{rnd.choice('XYZ')}=function({rnd.choice('klm')}){{return {rnd.randrange(99)}*{rnd.choice('klm')}}}" for _ in range(40)) + "})();"
+
+    rows = [(i, f"p{i % 5}", f"src/{rnd.choice(words)}/f{i}.js", hand()) for i in range(400)]
+    rows += [(1000 + i, f"p{i % 5}", f"dist/g{i}.min.js", "/*! x 1.0 */\n" + pressed()) for i in range(40)]
+    # the notice is wrong: the text is like the other files of the project
+    rows.append((2000, "p1", "src/table/f2000.js", "// Code generated by x. DO NOT EDIT.\n" + hand()))
+    got = {r.file_id: r.score for r in file_scores(spark.createDataFrame(rows, "file_id long, project_id string, file_path string, content string")).collect()}
+    assert notice("p1", rows[-1][3]) and got[2000] < 0.5
+    assert sum(got[1000 + i] >= 0.5 for i in range(40)) >= 38
