@@ -84,13 +84,31 @@ def doc_classifier(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def _standing(spark: SparkSession, d: str, paths: DataFrame, until: str | None = None) -> DataFrame:
+    """The rows of ``paths`` (project_id, file_path, ingested_at) without those
+    that a change set deleted after the row came and none brought back since."""
+    c = table(spark, d, "change_sets")
+    if until:
+        c = c.filter(F.col("commit_ts") <= F.lit(until).cast("timestamp_ntz"))
+    none = F.array().cast("array<string>")
+    gone = c.select("project_id", F.explode("deleted").alias("file_path"), F.col("commit_ts").alias("gone"), F.lit(None).cast("timestamp_ntz").alias("back"))
+    back = c.select("project_id", F.explode(F.concat(F.coalesce("added", none), F.coalesce("modified", none))).alias("file_path"), F.lit(None).cast("timestamp_ntz").alias("gone"), F.col("commit_ts").alias("back"))
+    at = gone.union(back).groupBy("project_id", "file_path").agg(F.max("gone").alias("gone"), F.max("back").alias("back")).filter("gone IS NOT NULL")
+    j = paths.join(at, ["project_id", "file_path"], "left")
+    return j.filter(F.col("gone").isNull() | (F.col("gone") <= F.greatest("ingested_at", "back"))).drop("gone", "back")
+
+
 @R.add("entity_freshness", "WITH e AS (SELECT doc_id AS entity_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id + 1 END AS code_id, sha256(trim(text)) AS sig, sha256(regexp_replace(text, '\\s+', '', 'g')) AS ast FROM documents), c AS (SELECT doc_id AS code_id, sha256(trim(text)) AS csig, sha256(regexp_replace(text, '\\s+', '', 'g')) AS ca FROM documents WHERE doc_id % 3 > 0) SELECT entity_id, e.code_id, CASE WHEN e.code_id IS NULL THEN 'unbound' WHEN c.code_id IS NULL THEN 'orphaned' WHEN sig = csig AND ast = ca THEN 'fresh' ELSE 'stale' END AS state FROM e LEFT JOIN c ON e.code_id = c.code_id")
 def entity_freshness(spark: SparkSession, d: str) -> DataFrame:
-    """Each text bound to its neighbour: unbound, orphaned, stale or fresh."""
-    x = table(spark, d, "documents").select("doc_id", "text")
+    """Each text bound to the last text of its path: unbound (no project or
+    path), orphaned (the path was deleted since), stale or fresh."""
+    x = table(spark, d, "documents").select("doc_id", "project_id", "file_path", "text", "ingested_at")
     sig, ast = K.signature(F.col("text"), F.col("text"))
-    e = x.select(F.col("doc_id").alias("entity_id"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id") + 1).alias("code_id"), sig.alias("sig"), ast.alias("ast"))
-    c = x.filter("doc_id % 3 > 0").select(F.col("doc_id").alias("code_id"), sig.alias("sig"), ast.alias("ast"))
+    last = x.filter("project_id IS NOT NULL AND file_path IS NOT NULL").groupBy("project_id", "file_path").agg(F.max(F.struct("ingested_at", "doc_id")).alias("l"))
+    last = last.select("project_id", "file_path", F.col("l.doc_id").alias("code_id"), F.col("l.ingested_at").alias("ingested_at"))
+    e = x.join(last.drop("ingested_at"), ["project_id", "file_path"], "left").select(F.col("doc_id").alias("entity_id"), "code_id", sig.alias("sig"), ast.alias("ast"))
+    there = _standing(spark, d, last).select(F.col("code_id").alias("doc_id"))
+    c = x.join(there, "doc_id", "left_semi").select(F.col("doc_id").alias("code_id"), sig.alias("sig"), ast.alias("ast"))
     return K.freshness(e, c)
 
 
@@ -211,18 +229,29 @@ def heritage_confidence(spark: SparkSession, d: str) -> DataFrame:
     return r.select("update_id", F.round(F.sqrt(F.col("confidence") * 0.9), 8).alias("confidence"))
 
 
+#: instant of the old snapshot
+_OLD = "2025-01-01 00:00:00"
+
+
+def _snapshot(spark: SparkSession, d: str, until: str | None = None) -> DataFrame:
+    """(project_id, file_path, hash): the last content of each path that stood
+    at ``until`` (None: now)."""
+    f = table(spark, d, "source_files")
+    if until:
+        f = f.filter(F.col("ingested_at") <= F.lit(until).cast("timestamp_ntz"))
+    f = f.select("project_id", "file_path", F.struct("ingested_at", "file_id", F.sha2("content", 256).alias("hash")).alias("v"))
+    last = f.groupBy("project_id", "file_path").agg(F.max("v").alias("v")).select("project_id", "file_path", F.col("v.ingested_at").alias("ingested_at"), F.col("v.hash").alias("hash"))
+    return _standing(spark, d, last, until).drop("ingested_at")
+
+
 @R.add(
     "changed_files",
     "WITH " + _SF + ", a AS (SELECT project_id, file_path, sha256(content) AS h FROM sf WHERE file_id % 4 <> 0), b AS (SELECT project_id, file_path, CASE WHEN file_id % 7 = 0 THEN sha256(content || 'x') ELSE sha256(content) END AS h FROM sf WHERE file_id % 5 <> 0) "
     "SELECT * FROM (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'modified' END AS change FROM a FULL JOIN b ON a.project_id = b.project_id AND a.file_path = b.file_path) WHERE change IS NOT NULL",
 )
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
-    """Two snapshots compared by content hash (the old one lacks some files,
-    the new one changed some)."""
-    f = _files(spark, d)
-    old = f.filter("file_id % 4 <> 0").select("project_id", "file_path", F.sha2("content", 256).alias("hash"))
-    new = f.filter("file_id % 5 <> 0").select("project_id", "file_path", F.sha2(F.when(F.col("file_id") % 7 == 0, F.concat("content", F.lit("x"))).otherwise(F.col("content")), 256).alias("hash"))
-    return I.changed_files(old, new)
+    """All files as they stood at an instant and now, compared by content hash."""
+    return I.changed_files(_snapshot(spark, d, _OLD), _snapshot(spark, d))
 
 
 @R.add("python_symbols")
