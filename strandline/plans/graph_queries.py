@@ -249,12 +249,12 @@ _REN = "o AS (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o
 
 @R.add("symbol_lineage", "WITH RECURSIVE " + _REN + ", c AS (SELECT project, old AS start, new AS current, 1 AS hops FROM r UNION ALL SELECT c.project, c.start, r.new, c.hops + 1 FROM c JOIN r ON r.project = c.project AND r.old = c.current WHERE c.hops < 4) SELECT * FROM c")
 def symbol_lineage(spark: SparkSession, d: str) -> DataFrame:
-    """Rename chains (consecutive orders of a customer), up to four hops."""
+    """Rename chains (consecutive orders of a customer), up to ten hops."""
     from pyspark.sql.window import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     r = table(spark, d, "orders").select(F.col("o_custkey").alias("project"), F.lag("o_orderkey").over(w).alias("old"), F.col("o_orderkey").alias("new")).filter("old IS NOT NULL")
-    return G.rename_chain(r, 4)
+    return G.rename_chain(r)
 
 
 @R.add(
