@@ -115,10 +115,10 @@ def topological_levels(edges: DataFrame, max_levels: int = 200) -> DataFrame:
     return cyc if done is None else done.union(cyc)
 
 
-def traces(edges: DataFrame, entries: DataFrame, depth: int = 6, branch: int = 4, per_entry: int = 12, least: int = 3) -> DataFrame:
+def traces(edges: DataFrame, entries: DataFrame, depth: int = 10, branch: int = 4, per_entry: int = 12, least: int = 3) -> DataFrame:
     """Call paths from entry points: at most ``branch`` callees per step (by
-    confidence, then name), no node twice in a path, the ``per_entry`` longest
-    paths of an entry. These bounds are the feature, as in call-flow tracing."""
+    confidence, then name), no node twice in a path, at most ``depth`` nodes,
+    the ``per_entry`` longest paths of an entry, as in call-flow tracing."""
     w = Window.partitionBy("project_id", "src").orderBy(F.col("confidence").desc(), "dst")
     e = edges.filter((F.col("type") == "CALLS") & (F.col("confidence") >= 0.5) & (F.col("src") != F.col("dst")))
     e = e.groupBy("project_id", "src", "dst").agg(F.max("confidence").alias("confidence"))
@@ -129,6 +129,8 @@ def traces(edges: DataFrame, entries: DataFrame, depth: int = 6, branch: int = 4
         p = path.withColumn("src", F.element_at("path", -1))
         grown = p.join(e, ["project_id", "src"]).filter(~F.array_contains("path", F.col("dst"))).select("project_id", "entry", F.concat("path", F.array("dst")).alias("path"))
         path = cut(grown)
+        if done and path.isEmpty():
+            break
         done.append(path)
     every = done[0]
     for p in done[1:]:
