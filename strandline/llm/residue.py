@@ -6,7 +6,8 @@ and script notices (from the labelled examples below) and for natural prose
 about such things). A text is cut into segments (sentences; lines that go on
 are joined), code is masked, and in each segment the window with the largest
 log-likelihood ratio is found. A segment is residue if that window is strong
-enough and covers enough of it; a text is residue if its residue covers more
+enough and covers enough of it, or is an unfilled template strong enough alone; a
+text is residue if its residue covers more
 than ``COVERAGE`` of it (0: any part counts).
 
 The prose sample holds some residue itself, so prose is fitted twice: segments
@@ -37,6 +38,8 @@ N, BITS = 5, 18
 STRENGTH, PART = 9.0, 0.5
 #: a segment of more than SHORT n-grams needs more
 SHORT, LONG_STRENGTH = 8, 14.0
+#: a template window this strong counts whatever its part of the segment
+ALONE = 20.0
 #: what is left out of the second fit of prose
 CLEAN = (25.0, 0.7)
 COVERAGE = 0.0
@@ -168,6 +171,8 @@ We replaced the placeholder text in the template with the real title.
 The snippet above is all you need.
 Export the folder first:
 """
+#: the class of unfilled templates
+TEMPLATE = list(RESIDUE).index("template")
 _FENCE = re.compile(r"^([ \t>*/#-]*)(```|~~~).*?^[ \t>*/#-]*\2[ \t]*$|^([ \t>*/#-]*)(```|~~~).*\Z", re.S | re.M)
 _INLINE = re.compile(r"`[^`\n]*`")
 _QUOTED = re.compile(r"(?<=\s)[\"“][^\"”\n]{1,60}[\"”](?=[\s,.;:)!?]|$)")
@@ -245,7 +250,7 @@ class Models:
             n = np.zeros(size)
             for doc in every:
                 for h in doc:
-                    if r == 0 or not self.strong(h, *CLEAN):
+                    if r == 0 or not self.strong(h, *CLEAN, alone=np.inf):
                         np.add.at(n, h, 1)
             total = max(n.sum(), 1.0)
             p = np.log((n + 0.3) / (total + 0.3 * 50_000)) if total > 1 else np.full(size, -11.0)
@@ -255,8 +260,9 @@ class Models:
                 q = np.log(np.maximum(c, 0.5) / c.sum())
                 self.table[i] = np.where(c > 0, np.clip(q - p - MARGIN, -3, 3), UNSEEN)
 
-    def strong(self, h: np.ndarray, strength: float = STRENGTH, part: float = PART) -> bool:
-        """Whether a window of some class is strong and covers its part."""
+    def strong(self, h: np.ndarray, strength: float = STRENGTH, part: float = PART, alone: float = ALONE) -> bool:
+        """Whether a window of some class is strong and covers its part, or is an
+        unfilled template strong enough alone."""
         if len(h) > SHORT:
             strength = max(strength, LONG_STRENGTH)
         x = self.table[:, h]
@@ -268,6 +274,8 @@ class Models:
         for i, e in enumerate(gain.argmax(axis=1)):
             if gain[i, e] >= strength and e - int(np.argmin(c[i, : e + 1])) >= part * len(h):
                 return True
+            if i == TEMPLATE and gain[i, e] >= alone:
+                return True
         return False
 
     def coverage(self, text: str | None) -> float:

@@ -42,3 +42,12 @@ def test_found(spark):
     kept = [r.doc_id for r in clean_documents(df).collect()]
     assert len(kept) == len(set(kept)) and set(kept) == {r[0] for r in rows if r[0] is not None} - got
     assert residue_coverage(df.limit(0)).collect() == []
+
+
+def test_placeholder_in_a_long_sentence(spark):
+    rnd = random.Random(2)
+    rows = [(i, prose(rnd)) for i in range(300)]
+    bad = ["[object Object] thistle-viewer-0 stores one trailer per registry and marks it coarse when the second reader has seen it.", "The reader keeps one leaf per module and the folder, so [object Object] moves to the second branch when the parser is done."]
+    rows += [(1000 + i, prose(rnd) + "\n\n" + t) for i, t in enumerate(bad)]
+    got = {r.doc_id for r in residue_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1000, 1001}
