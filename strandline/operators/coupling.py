@@ -27,8 +27,8 @@ def hotspots(changes: DataFrame, keys: list[str], group: list[str], high: float
 def ownership(changes: DataFrame) -> DataFrame:
     """Share of each author in the changes of a node."""
     per = changes.groupBy("node", "author").agg(F.count(F.lit(1)).alias("change_count"), F.max("ts").alias("last_change"))
-    w = Window.partitionBy("node")
-    return per.withColumn("ownership", F.round(F.col("change_count") / F.sum("change_count").over(w), 6))
+    total = per.groupBy("node").agg(F.sum("change_count").alias("__t"))
+    return per.join(total, "node").withColumn("ownership", F.round(F.col("change_count") / F.col("__t"), 6)).drop("__t")
 
 
 def experts(owned: DataFrame) -> DataFrame:
@@ -42,27 +42,45 @@ def bus_factor(primary: DataFrame, threshold: float = 0.5, order: str = "asc") -
     no primary author; authors leave by owned nodes (asc as the reference
     does, or desc). ``primary`` has node and author, one row per node."""
     owned = primary.groupBy("author").agg(F.count(F.lit(1)).alias("owned"))
-    by = F.col("owned").asc() if order == "asc" else F.col("owned").desc()
-    w = Window.orderBy(by, "author")
-    # one row per author, and only their number of nodes
-    run = owned.withColumn("rank", F.row_number().over(w)).withColumn("orphaned", F.sum("owned").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # authors with equally many nodes are one row: with N nodes there are at
+    # most sqrt(2N) such rows, so one task can take their running totals
+    level = owned.groupBy("owned").agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.orderBy(F.col("owned").asc() if order == "asc" else F.col("owned").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    run = level.withColumn("__left", F.coalesce(F.sum("__c").over(w), F.lit(0))).withColumn("__lost", F.coalesce(F.sum(F.col("__c") * F.col("owned")).over(w), F.lit(0)))
     n = primary.agg(F.count(F.lit(1)).alias("modules"))
-    hit = run.crossJoin(F.broadcast(n)).agg(  # one row
-        F.min(F.when(F.col("orphaned") > F.floor(F.col("modules") * threshold), F.col("rank"))).alias("f"), F.count(F.lit(1)).alias("authors"), F.max("modules").alias("modules")
-    )
-    return hit.select(F.coalesce("f", "authors").cast("bigint").alias("bus_factor"), "authors", F.coalesce("modules", F.lit(0)).alias("modules"))
-
-
-def pair_counts(changes: DataFrame, group: list[str], max_width: int | None = None) -> DataFrame:
-    """How often two nodes change in one commit (node_a < node_b). Commits are
-    packed first, so a pair costs one row inside its commit; ``max_width``
-    leaves out wider commits (off by default)."""
-    packed = changes.groupBy(*group, "commit_hash").agg(F.array_sort(F.collect_set("node")).alias("ns")).filter(F.size("ns") > 1)
+    most = F.floor(F.col("modules") * threshold)
+    # inside a row every author takes the same number
+    rank = F.col("__left") + F.floor((most - F.col("__lost")) / F.col("owned")) + 1
+    inside = (F.col("__lost") <= most) & (most < F.col("__lost") + F.col("__c") * F.col("owned"))
+    hit = run.crossJoin(F.broadcast(n)).agg(F.min(F.when(inside, rank)).alias("f"), F.sum("__c").alias("authors"), F.max("modules").alias("modules"))  # one row
+    authors = F.coalesce("authors", F.lit(0))
+    return hit.select(F.coalesce("f", authors).cast("bigint").alias("bus_factor"), authors.cast("bigint").alias("authors"), F.coalesce("modules", F.lit(0)).alias("modules"))
+
+
+#: nodes of a commit that are paired at once
+PAIR_BLOCK = 256
+
+
+def pair_counts(changes: DataFrame, group: list[str], max_width: int | None = None, min_count: int = 1) -> DataFrame:
+    """How often two nodes change in one commit (node_a < node_b), pairs with
+    at least ``min_count`` commits. A node in fewer commits has no such pair and
+    is left out before anything is paired. Each commit is cut into blocks and
+    pairs of blocks are expanded row by row, so a wide commit is never squared
+    in memory; ``max_width`` leaves out wider commits (off by default)."""
+    rows = changes.select(*group, "node", "commit_hash").distinct()
+    if min_count > 1:
+        often = rows.groupBy(*group, "node").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_count)
+        rows = rows.join(often.drop("__n"), [*group, "node"], "left_semi")
+    packed = rows.groupBy(*group, "commit_hash").agg(F.array_sort(F.collect_list("node")).alias("ns")).filter(F.size("ns") > 1)
     if max_width:
         packed = packed.filter(F.size("ns") <= max_width)
-    pairs = packed.select(*group, F.posexplode("ns").alias("i", "node_a"), "ns")
-    pairs = pairs.select(*group, "node_a", F.explode(F.slice("ns", F.col("i") + 2, F.size("ns"))).alias("node_b"))
-    return pairs.groupBy(*group, "node_a", "node_b").agg(F.count(F.lit(1)).alias("co_changes"))
+    last = F.floor((F.size("ns") - 1) / PAIR_BLOCK).cast("int")
+    block = lambda i: F.slice("ns", F.col(i) * PAIR_BLOCK + 1, PAIR_BLOCK)
+    at = packed.select(*group, "ns", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    at = at.select(*group, block("i").alias("xs"), "i", "ns", F.explode(F.sequence(F.col("i"), last)).alias("j"))
+    pairs = at.select(*group, F.explode("xs").alias("node_a"), block("j").alias("ys")).select(*group, "node_a", F.explode("ys").alias("node_b")).filter("node_a < node_b")
+    pairs = pairs.groupBy(*group, "node_a", "node_b").agg(F.count(F.lit(1)).alias("co_changes"))
+    return pairs.filter(F.col("co_changes") >= min_count) if min_count > 1 else pairs
 
 
 def coupling(pairs: DataFrame, changes: DataFrame, totals: DataFrame, group: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,17 +24,20 @@ def neighbours(edges: DataFrame) -> DataFrame:
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "upstream", types: tuple[str, ...] = CALLS) -> DataFrame:
     """First-visit depth of every node reached from the seeds (project_id,
     node). One join per level for the whole frontier; visited nodes are left
-    out, so cycles end and each node is expanded once."""
+    out, so cycles end and each node is expanded once. The edges are
+    checkpointed once, the frontier once per level."""
     e = edges.filter(F.col("type").isin(*types)).select("project_id", *(("dst", "src") if direction == "upstream" else ("src", "dst"))).toDF("project_id", "node", "next").distinct()
     e = cut(e)
     seen = cut(seeds.select("project_id", "node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for k in range(1, depth + 1):
         step = front.join(e, ["project_id", "node"]).select("project_id", F.col("next").alias("node")).distinct()
-        front = cut(step.join(seen, ["project_id", "node"], "left_anti").withColumn("depth", F.lit(k)))
-        if front.isEmpty():
-            break
-        seen = cut(seen.union(front))
+        front = step.join(seen, ["project_id", "node"], "left_anti").withColumn("depth", F.lit(k))
+        if k < depth:
+            front = cut(front)
+            if front.isEmpty():
+                break
+        seen = seen.union(front)
     return seen
 
 
@@ -51,24 +58,44 @@ def no_inbound(nodes: DataFrame, edges: DataFrame, types: tuple[str, ...] = ("CA
     return dead.withColumn("reason", reason).withColumn("confidence", conf).drop("self")
 
 
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(project_id, node, component): smallest node reachable by undirected
-    edges. Alternates taking the least neighbour and pointer jumping, so the
-    rounds are logarithmic in the diameter; every round is checkpointed."""
-    both = cut(edges.select("project_id", F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("project_id", "dst", "src")).filter("a <> b").distinct())
-    lab = cut(both.groupBy("project_id", "a").agg(F.least(F.min("b"), F.first("a")).alias("c")).withColumnRenamed("a", "node"))
-    sign = lambda d: d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("project_id", "node", "c"))).first()
-    was = sign(lab)
-    for _ in range(max_rounds):
-        near = both.join(lab.select("project_id", F.col("node").alias("b"), F.col("c").alias("cb")), ["project_id", "b"]).groupBy("project_id", "a").agg(F.min("cb").alias("m"))
-        step = lab.join(near.withColumnRenamed("a", "node"), ["project_id", "node"]).select("project_id", "node", F.least("c", "m").alias("c"))
-        jump = step.select("project_id", F.col("node").alias("c"), F.col("c").alias("cc"))
-        lab = cut(step.join(jump, ["project_id", "c"], "left").select("project_id", "node", F.least("c", F.coalesce("cc", "c")).alias("c")))
-        now = sign(lab)
+    edges."""
+    return components_by(edges, ["project_id"], "src", "dst").withColumnRenamed("root", "component")
+
+
+def components_by(edges: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(*by, node, root): root is the smallest node of the component; only
+    nodes with an edge to another appear; null ends are left out.
+
+    Alternating large-star and small-star steps: every round is two aggregations
+    over an edge table that never grows, and components shrink to stars in a
+    logarithmic number of rounds, until nothing changes. A node with a huge
+    neighbourhood costs one minimum, combined map-side. Each round is
+    checkpointed; only a count and a checksum reach the driver.
+    """
+    e = edges.select(*by, F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v")
+    e = cut(e.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    sign = lambda d: tuple(d.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*by, "u", "v"))).first())
+    key = [*by, "u"]
+    was = sign(e)
+    while was[0]:
+        both = e.union(e.select(*by, "v", "u"))
+        # large star: larger neighbours are linked to the smallest neighbour
+        low = both.groupBy(*key).agg(F.min("v").alias("m")).select(*key, F.least("u", "m").alias("m"))
+        large = both.join(low, key).filter("v > u").select(*by, F.col("v").alias("u"), F.col("m").alias("v"))
+        # small star: smaller neighbours are linked to the smallest of them
+        down = large.select(*by, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
+        low2 = down.groupBy(*key).agg(F.min("v").alias("m"))
+        j = down.join(low2, key)
+        small = j.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select(*by, "u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        e = cut(small)
+        now = sign(e)
         if now == was:
             break
         was = now
-    return lab.withColumnRenamed("c", "component")
+    roots = e.groupBy(*key).agg(F.min("v").alias("root"))
+    return roots.select(*by, F.col("u").alias("node"), "root").union(roots.select(*by, F.col("root").alias("node"), "root").distinct())
 
 
 def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -97,28 +124,31 @@ def cohesion(members: DataFrame, edges: DataFrame) -> DataFrame:
     return size.join(share, ["project_id", "community"], "left").filter("members > 1").select("project_id", "community", "members", F.coalesce("cohesion", F.lit(0.0)).alias("cohesion"))
 
 
-def topological_levels(edges: DataFrame, max_levels: int = 200) -> DataFrame:
-    """Level of each node (0: nothing comes before it); nodes on or behind a
-    cycle get -1. One join per level over the edges that are left."""
-    e = edges.select("project_id", "src", "dst").filter("src <> dst").distinct()
-    nodes = e.select("project_id", F.col("src").alias("node")).union(e.select("project_id", "dst")).distinct()
-    left, rest, done = cut(nodes), cut(e), None
-    for k in range(max_levels):
-        free = cut(left.join(rest.select("project_id", F.col("dst").alias("node")), ["project_id", "node"], "left_anti"))
-        if free.isEmpty():
-            break
-        level = free.withColumn("level", F.lit(k))
-        done = level if done is None else done.union(level)
-        left = cut(left.join(free, ["project_id", "node"], "left_anti"))
-        rest = cut(rest.join(free.withColumnRenamed("node", "src"), ["project_id", "src"], "left_anti"))
-    cyc = left.withColumn("level", F.lit(-1))
-    return cyc if done is None else done.union(cyc)
+def topological_levels(edges: DataFrame) -> DataFrame:
+    """Level of each node (0: nothing comes before it; else the longest way
+    from there); nodes on or behind a cycle get -1. Each round settles all
+    nodes whose predecessors are settled: one join and one checkpoint per
+    level, until none is free."""
+    e = cut(edges.select("project_id", "src", "dst").filter("src <> dst").distinct())
+    into = e.groupBy("project_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("open"))
+    first = e.select("project_id", F.col("src").alias("node"), F.lit(0).cast("bigint").alias("open")).union(into)
+    state = cut(first.groupBy("project_id", "node").agg(F.max("open").alias("open")).withColumn("level", F.when(F.col("open") == 0, 0)))
+    k = 0
+    while not state.filter(F.col("level") == k).isEmpty():
+        free = state.filter(F.col("level") == k).select("project_id", F.col("node").alias("src"))
+        done = e.join(free, ["project_id", "src"]).groupBy("project_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        k += 1
+        left = F.col("open") - F.coalesce("n", F.lit(0))
+        settled = F.when(F.col("level").isNull() & (left == 0), k).otherwise(F.col("level"))
+        state = cut(state.join(done, ["project_id", "node"], "left").select("project_id", "node", left.alias("open"), settled.alias("level")))
+    return state.select("project_id", "node", F.coalesce("level", F.lit(-1)).alias("level"))
 
 
 def traces(edges: DataFrame, entries: DataFrame, depth: int = 10, branch: int = 4, per_entry: int = 12, least: int = 3) -> DataFrame:
     """Call paths from entry points: at most ``branch`` callees per step (by
     confidence, then name), no node twice in a path, at most ``depth`` nodes,
-    the ``per_entry`` longest paths of an entry, as in call-flow tracing."""
+    none that is a part of a longer one, the ``per_entry`` longest paths of an
+    entry, as in call-flow tracing."""
     w = Window.partitionBy("project_id", "src").orderBy(F.col("confidence").desc(), "dst")
     e = edges.filter((F.col("type") == "CALLS") & (F.col("confidence") >= 0.5) & (F.col("src") != F.col("dst")))
     e = e.groupBy("project_id", "src", "dst").agg(F.max("confidence").alias("confidence"))
@@ -136,6 +166,11 @@ def traces(edges: DataFrame, entries: DataFrame, depth: int = 10, branch: int =
     for p in done[1:]:
         every = every.union(p)
     every = every.filter(F.size("path") >= least)
+    # a path that is a part of a longer one tells nothing new
+    n = F.size("path")
+    spans = F.flatten(F.transform(F.sequence(F.lit(least), F.greatest(n - 1, F.lit(least))), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.slice("path", i, w))))
+    parts = every.filter(n > least).select("project_id", F.explode(spans).alias("path")).distinct()
+    every = every.join(parts, ["project_id", "path"], "left_anti")
     # of paths between the same ends the longest (then the first by name)
     key = ["project_id", "entry", F.element_at("path", -1).alias("last")]
     best = every.groupBy(*key).agg(F.min(F.struct(-F.size("path"), "path")).alias("b")).select("project_id", "entry", F.col("b.path").alias("path"))
@@ -172,45 +207,55 @@ def best_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     return na.select("set").join(best, "set", "left").select("set", F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"))
 
 
-def c3(parents: dict[str, list[str]], name: str, seen: tuple[str, ...] = ()) -> list[str] | None:
-    """Method resolution order by C3; None where there is none (or a cycle)."""
-    if name in seen:
-        return None
-    lists = []
-    for p in parents.get(name, []):
-        sub = c3(parents, p, (*seen, name))
-        if sub is None:
-            return None
-        lists.append(sub)
-    lists.append(list(parents.get(name, [])))
-    out = [name]
-    lists = [x for x in lists if x]
+def c3(parents: dict[str, list[str]], name: str, memo: dict[str, list[str] | None] | None = None) -> list[str] | None:
+    """Method resolution order by C3; None where there is none (or a cycle).
+    Each class is merged once, in depth-first order without recursion."""
+    memo = {} if memo is None else memo
+    todo, open_ = [(name, False)], set()
+    while todo:
+        at, ready = todo.pop()
+        if at in memo:
+            continue
+        ps = list(parents.get(at, []))
+        if not ready:
+            open_.add(at)
+            todo.append((at, True))
+            todo += [(p, False) for p in ps if p not in memo and p not in open_]
+            continue
+        # a parent that is still open lies on a cycle with this class
+        memo[at] = None if any(memo.get(p) is None for p in ps) else _merge(at, [memo[p] for p in ps], ps)
+        open_.discard(at)
+    return memo[name]
+
+
+def _merge(name: str, lists: list[list[str]], ps: list[str]) -> list[str] | None:
+    out, lists = [name], [list(x) for x in (*lists, ps) if x]
     while lists:
         head = next((x[0] for x in lists if not any(x[0] in y[1:] for y in lists)), None)
         if head is None:
             return None
         out.append(head)
-        lists = [[y for y in x if y != head] for x in lists]
-        lists = [x for x in lists if x]
+        lists = [y for y in ([z for z in x if z != head] for x in lists) if y]
     return out
 
 
-def method_resolution(edges: DataFrame, depth: int = 10) -> DataFrame:
+def method_resolution(edges: DataFrame) -> DataFrame:
     """(project_id, node, mro): C3 order of every class with parents. The
-    ancestors of a class are gathered by joins (bounded by ``depth``); only
-    this closure of one class goes into Python."""
+    ancestors of a class are gathered by joins until none is new; only this
+    closure of one class goes into Python, in Arrow batches."""
     h = edges.filter(F.col("type").isin("EXTENDS", "IMPLEMENTS")).select("project_id", "src", "dst").filter("src <> dst").distinct()
-    up = h.groupBy("project_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("parents"))
-    up = cut(up)
-    reach = up.select("project_id", F.col("src").alias("node"), F.col("src").alias("at"))
-    every, front = reach, reach
-    for _ in range(depth):
-        nxt = front.join(up.select("project_id", F.col("src").alias("at"), "parents"), ["project_id", "at"]).select("project_id", "node", F.explode("parents").alias("at")).distinct()
+    up = cut(h.groupBy("project_id", "src").agg(F.array_sort(F.collect_set("dst")).alias("parents")))
+    step = up.select("project_id", F.col("src").alias("at"), "parents")
+    every = cut(up.select("project_id", F.col("src").alias("node"), F.col("src").alias("at")))
+    front = every
+    while not front.isEmpty():
+        nxt = front.join(step, ["project_id", "at"]).select("project_id", "node", F.explode("parents").alias("at")).distinct()
         front = cut(nxt.join(every, ["project_id", "node", "at"], "left_anti"))
-        if front.isEmpty():
-            break
-        every = cut(every.union(front))
-    closure = every.join(up.select("project_id", F.col("src").alias("at"), "parents"), ["project_id", "at"])
-    packed = closure.groupBy("project_id", "node").agg(F.map_from_entries(F.collect_list(F.struct("at", "parents"))).alias("m"))
-    order = F.udf(lambda n, m: c3(m, n), "array<string>")
-    return packed.select("project_id", "node", order("node", "m").alias("mro"))
+        every = every.union(front)
+    packed = every.join(step, ["project_id", "at"]).groupBy("project_id", "node").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("at", "parents")))).alias("m"))
+
+    def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"project_id": f["project_id"], "node": f["node"], "mro": [c3(json.loads(m), n) for n, m in zip(f["node"], f["m"])]})
+
+    return packed.mapInPandas(order, "project_id string, node string, mro array<string>")

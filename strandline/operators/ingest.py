@@ -39,26 +39,27 @@ def structure(files: DataFrame) -> DataFrame:
     return files.select("project_id", F.explode(steps).alias("e")).select("project_id", "e.src", "e.dst").distinct()
 
 
+_HEAD = r"^([0-9a-f]{40})\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
+
+
 def parse_git_log(log: DataFrame) -> DataFrame:
     """Rows (repo, text) with ``hash|author|mail|iso|message`` headers and
     ``A/M/D/Rnnn/Cnnn`` lines -> one row per file change. The message may hold
-    '|'; R* is a rename with both paths, C* an addition, others are dropped."""
-    lines = log.select("repo", F.posexplode(F.split(F.regexp_replace("text", "\r\n", "\n"), "\n")).alias("n", "line"))
-    head = F.regexp_extract("line", r"^([0-9a-f]{40})\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", 1)
-    w = Window.partitionBy("repo").orderBy("n")
-    h = lines.withColumn("h", F.when(head != "", F.struct(
-        head.alias("hash"), *[F.regexp_extract("line", r"^([0-9a-f]{40})\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$", i).alias(c) for i, c in ((2, "author"), (3, "email"), (4, "iso"), (5, "message"))]
-    )))
-    h = h.withColumn("c", F.last("h", ignorenulls=True).over(w)).filter(F.col("h").isNull() & F.col("c").isNotNull())
+    '|'; R* is a rename with both paths, C* an addition, others are dropped. A
+    text may hold any number of commits; each is read in its own row, so nothing
+    is ordered or shuffled."""
+    text = F.concat(F.lit("\n"), F.regexp_replace("text", "\r\n?", "\n"))
+    commit = log.select("repo", F.explode(F.split(text, r"\n(?=[0-9a-f]{40}\|)")).alias("c")).filter(F.col("c").rlike(r"^[0-9a-f]{40}\|"))
+    lines = commit.select("repo", F.split("c", "\n").alias("l"))
+    head = F.get("l", F.lit(0))
+    lines = lines.select("repo", *[F.regexp_extract(head, _HEAD, i).alias(c) for i, c in enumerate(("hash", "author", "email", "iso", "message"), 1)], F.explode(F.slice("l", F.lit(2), F.size("l"))).alias("line"))
     f = F.split("line", "\t")
     s = F.substring(F.get(f, F.lit(0)), 1, 1)
     kind = F.when(s.isin("A", "C"), "added").when(s == "M", "modified").when(s == "D", "deleted").when(s == "R", "renamed")
-    rows = h.withColumn("change_type", kind).filter(F.col("change_type").isNotNull() & (F.size(f) > 1))
     second = F.get(f, F.lit(2))
-    return rows.select(
-        "repo", F.col("c.hash").alias("hash"), F.col("c.author").alias("author"), F.col("c.email").alias("email"), F.col("c.iso").alias("iso"), F.col("c.message").alias("message"),
-        "change_type", F.when(s == "C", second).otherwise(F.get(f, F.lit(1))).alias("file_path"), F.when(s == "R", second).alias("new_path"),
-    )
+    return lines.withColumn("change_type", kind).filter(F.col("change_type").isNotNull() & (F.size(f) > 1) & (F.col("hash") != "")).select(
+        "repo", "hash", "author", "email", "iso", "message", "change_type", F.when(s == "C", second).otherwise(F.get(f, F.lit(1))).alias("file_path"), F.when(s == "R", second).alias("new_path")
+    )
 
 
 def parse_blame(blame: DataFrame) -> DataFrame:

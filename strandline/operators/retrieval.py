@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,18 +17,27 @@ def terms(df: DataFrame, doc: str, text: str) -> DataFrame:
     return t.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 score of every document that holds a query term. Document lengths
-    and frequencies are aggregates of the index; the query filter reaches the
-    index first."""
-    length = index.groupBy("doc").agg(F.sum("tf").alias("len"))
-    stat = length.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"))
-    hit = index.filter(F.col("term").isin(*query))
-    df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    j = hit.join(F.broadcast(df), "term").join(length, "doc").crossJoin(F.broadcast(stat))  # one row per query term; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    s = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    return j.groupBy("doc").agg(F.round(F.sum(s), 6).alias("score"))
+def _equals(word: str) -> Callable[[Column], Column]:
+    return lambda x: x == F.lit(word)
+
+
+def bm25(docs: DataFrame, doc: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc, score): BM25 of every document that holds a query term. Lengths
+    and term frequencies are counted inside the row, so no word is shuffled;
+    only one row of totals is."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_]+)"), 1)
+    query = list(dict.fromkeys(query))
+    d = docs.select(F.col(doc).alias("doc"), words.alias("w"))
+    d = d.select("doc", F.size("w").alias("len"), F.filter("w", lambda x: x.isin(*query)).alias("w"))
+    d = d.select("doc", "len", *[F.size(F.filter("w", _equals(q))).alias(f"tf{i}") for i, q in enumerate(query)])
+    stat = d.agg(F.count_if(F.col("len") > 0).alias("n"), F.avg(F.when(F.col("len") > 0, F.col("len"))).alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))])
+    j = d.filter(sum((F.col(f"tf{i}") for i in range(len(query))), F.lit(0)) > 0).crossJoin(F.broadcast(stat))  # one row
+    norm = k1 * (1 - b + b * F.col("len") / F.col("avg"))
+    parts = []
+    for i in range(len(query)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        parts.append(F.when(tf > 0, F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + norm)).otherwise(0.0))
+    return j.select("doc", F.round(sum(parts, F.lit(0.0)), 6).alias("score"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -34,21 +47,55 @@ def cosine(a: Column, b: Column) -> Column:
     return dot / (norm(a) * norm(b))
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact top-k by cosine of a bounded query set: (query, id, score). The
-    queries (id, embedding) must be few; a caller bounds them."""
-    q = queries.select(F.col("id").alias("query"), F.col("embedding").alias("qe"))
-    s = vectors.crossJoin(F.broadcast(q)).filter(F.col("id") != F.col("query")).select("query", "id", F.round(cosine(F.col("qe"), F.col("embedding")), 6).alias("score"))
+#: rows of a block of vectors and of a block of queries
+VECTOR_BLOCK, QUERY_BLOCK = 65_536, 2_048
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int, vector_block: int = VECTOR_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """Exact top-k by cosine: (query, id, score, rank), scores rounded to 6
+    places, ties by smaller id, never the query itself.
+
+    Both sides (id, embedding) are cut into blocks of bounded size; a task
+    multiplies one block of queries with one block of vectors and keeps k per
+    query. Null vectors and ids take no part; nothing reaches the driver but
+    the two counts.
+    """
+    ok = F.col("id").isNotNull() & F.col("embedding").isNotNull()
+    v, q = vectors.filter(ok).select("id", "embedding"), queries.filter(ok).select("id", "embedding")
+    n_v, n_q = (max(1, -(-x.count() // size)) for x, size in ((v, vector_block), (q, query_block)))
+    cell = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = v.withColumn("__v", cell(n_v)).withColumn("__q", every(n_q))
+    q = q.withColumn("__q", cell(n_q)).withColumn("__v", every(n_v))
+
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": np.empty(0, np.int64), "id": np.empty(0, np.int64), "score": np.empty(0)})]
+        if len(qs) and len(vs):
+            unit = lambda s: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(np.stack(s.to_numpy()).astype(np.float64))
+            x, y, ids = unit(qs["embedding"]), unit(vs["embedding"]), vs["id"].to_numpy(np.int64)
+            for s in range(0, len(x), 64):
+                score = np.round(x[s : s + 64] @ y.T, 6) + 0.0
+                for row, me in zip(score, qs["id"].to_numpy(np.int64)[s : s + 64]):
+                    row[ids == me] = -np.inf
+                    least = np.partition(row, -min(k, len(row)))[-min(k, len(row))]
+                    top = np.nonzero(row >= least)[0]
+                    top = top[np.lexsort((ids[top], -row[top]))][:k]
+                    top = top[np.isfinite(row[top])]
+                    out.append(pd.DataFrame({"query": me, "id": ids[top], "score": row[top]}))
+        return pd.concat(out)
+
+    s = q.groupBy("__q", "__v").cogroup(v.groupBy("__q", "__v")).applyInPandas(best, "query bigint, id bigint, score double")
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def rrf(lists: list[DataFrame], k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of (id, rank) lists: sum of 1 / (k + rank)."""
-    every = lists[0].select("id", "rank")
+def rrf(lists: list[DataFrame], by: list[str] | None = None, k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of (*by, id, rank) lists: sum of 1 / (k + rank)."""
+    key = [*(by or []), "id"]
+    every = lists[0].select(*key, "rank")
     for x in lists[1:]:
-        every = every.union(x.select("id", "rank"))
-    return every.groupBy("id").agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 8).alias("score"))
+        every = every.union(x.select(*key, "rank"))
+    return every.groupBy(*key).agg(F.round(F.sum(1.0 / (F.lit(k) + F.col("rank"))), 8).alias("score"))
 
 
 def ranked(df: DataFrame, score: str, ident: str, n: int) -> DataFrame:

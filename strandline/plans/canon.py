@@ -9,6 +9,8 @@ The SQL twins in ``CTE`` are for the oracle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,18 +23,28 @@ def file_id(c: str) -> Column:
     return F.concat(F.lit("File:"), F.regexp_extract(c, FILE_OF, 1))
 
 
-def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Relation facts on file level, each delivered fact once."""
-    r = table(spark, d, "relation_updates").dropDuplicates(["update_id"])
-    return r.select(
+def facts(spark: SparkSession, d: str, keep: Callable[[DataFrame], DataFrame] = lambda f: f) -> DataFrame:
+    """Relation facts on file level, each delivered fact once. ``keep`` filters
+    the rows as delivered, so it reaches the scan; repeats carry the same facts,
+    so it is the same as filtering afterwards."""
+    r = table(spark, d, "relation_updates").select(
         "project_id", "update_id", file_id("source_id").alias("src"), file_id("target_id").alias("dst"), F.col("rel_type").alias("type"),
         "confidence", "reason", "valid_from", "valid_to", "txn_from", "txn_to",
     )
+    return keep(r).distinct()
+
+
+def delivered(spark: SparkSession, d: str) -> DataFrame:
+    """Ends, type and valid time of the facts as delivered, for plans to which
+    a repeat makes no difference."""
+    return table(spark, d, "relation_updates").select("project_id", file_id("source_id").alias("src"), file_id("target_id").alias("dst"), F.col("rel_type").alias("type"), "valid_from", "valid_to")
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Open and believed edges, one per (project, src, dst, type)."""
-    f = facts(spark, d).filter("valid_to IS NULL AND txn_to IS NULL")
+    r = table(spark, d, "relation_updates").filter("valid_to IS NULL AND txn_to IS NULL")
+    f = r.select("project_id", file_id("source_id").alias("src"), file_id("target_id").alias("dst"), F.col("rel_type").alias("type"), "confidence", "reason")
+    # a repeat changes neither maximum nor minimum
     return f.groupBy("project_id", "src", "dst", "type").agg(F.max("confidence").alias("confidence"), F.min("reason").alias("reason"))
 
 

@@ -205,18 +205,45 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return G.components(_edges(spark, d).filter("type = 'EXTENDS'"))
 
 
-@R.add("communities")
+_LP_E = _E + ", u AS (SELECT DISTINCT project_id, src AS a, dst AS b FROM edges WHERE type IN ('CALLS', 'EXTENDS', 'IMPLEMENTS') AND src <> dst), g AS (SELECT * FROM u UNION SELECT project_id, b, a FROM u), l0 AS (SELECT DISTINCT project_id, a AS node, a AS label FROM g)"
+
+
+def _label_sql(rounds: int) -> str:
+    """Label propagation unrolled: the most frequent label of a node and its
+    neighbours, the smaller one of equals."""
+    out = _LP_E
+    for i in range(1, rounds + 1):
+        out += (
+            f", v{i} AS (SELECT project_id, node, label, count(*) AS n FROM (SELECT g.project_id, g.a AS node, l.label FROM g JOIN l{i - 1} l ON l.project_id = g.project_id AND l.node = g.b UNION ALL SELECT * FROM l{i - 1}) GROUP BY 1, 2, 3), "
+            f"l{i} AS (SELECT project_id, node, label FROM v{i} QUALIFY row_number() OVER (PARTITION BY project_id, node ORDER BY n DESC, label) = 1)"
+        )
+    return out
+
+
+@R.add("communities", _label_sql(5) + " SELECT project_id, node, label AS community FROM l5")
 def communities(spark: SparkSession, d: str) -> DataFrame:
     return G.label_propagation(_edges(spark, d).filter("type IN ('CALLS', 'EXTENDS', 'IMPLEMENTS')"))
 
 
-@R.add("community_cohesion")
+@R.add(
+    "community_cohesion",
+    _label_sql(5) + ", e AS (SELECT u.project_id, x.label AS ca, y.label AS cb FROM u JOIN l5 x ON x.project_id = u.project_id AND x.node = u.a JOIN l5 y ON y.project_id = u.project_id AND y.node = u.b), "
+    "s AS (SELECT project_id, community, round(avg(CASE WHEN inside THEN 1.0::DOUBLE ELSE 0 END), 6) AS cohesion FROM (SELECT project_id, ca AS community, ca = cb AS inside FROM e UNION ALL SELECT project_id, cb, ca = cb FROM e) GROUP BY 1, 2), "
+    "m AS (SELECT project_id, label AS community, count(*) AS members FROM l5 GROUP BY 1, 2) SELECT m.project_id, m.community, members, coalesce(cohesion, 0.0) AS cohesion FROM m LEFT JOIN s ON s.project_id = m.project_id AND s.community = m.community WHERE members > 1",
+)
 def community_cohesion(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d).filter("type IN ('CALLS', 'EXTENDS', 'IMPLEMENTS')")
     return G.cohesion(G.label_propagation(e), e)
 
 
-@R.add("topological_levels")
+@R.add(
+    "topological_levels",
+    _E + ", e AS (SELECT DISTINCT project_id, src, dst FROM edges WHERE type = 'IMPORTS' AND src <> dst), n AS (SELECT project_id, src AS node FROM e UNION SELECT project_id, dst FROM e), "
+    "w AS (SELECT project_id, src AS node, dst AS reach FROM e UNION SELECT w.project_id, w.node, e.dst FROM w JOIN e ON e.project_id = w.project_id AND e.src = w.reach), "
+    "c AS (SELECT DISTINCT project_id, node FROM w WHERE node = reach), bad AS (SELECT * FROM c UNION SELECT w.project_id, w.reach FROM w JOIN c ON c.project_id = w.project_id AND c.node = w.node), "
+    "ok AS (SELECT * FROM n EXCEPT SELECT * FROM bad), d AS (SELECT project_id, node, 0 AS level FROM ok UNION SELECT d.project_id, e.dst, d.level + 1 FROM d JOIN e ON e.project_id = d.project_id AND e.src = d.node JOIN ok ON ok.project_id = e.project_id AND ok.node = e.dst) "
+    "SELECT project_id, node, max(level) AS level FROM d GROUP BY 1, 2 UNION ALL SELECT project_id, node, -1 FROM bad",
+)
 def topological_levels(spark: SparkSession, d: str) -> DataFrame:
     return G.topological_levels(_edges(spark, d).filter("type = 'IMPORTS'"))
 
@@ -229,7 +256,18 @@ def entry_points(spark: SparkSession, d: str) -> DataFrame:
     return c.select("project_id", "node", F.round(F.col("calls") / (F.col("callers") + 1.0) * named, 6).alias("score"))
 
 
-@R.add("process_traces")
+@R.add(
+    "process_traces",
+    _E + ", c AS (SELECT project_id, src, dst, max(confidence) AS confidence FROM edges WHERE type = 'CALLS' AND confidence >= 0.5 AND src <> dst GROUP BY 1, 2, 3), "
+    "e AS (SELECT project_id, src, dst FROM c QUALIFY row_number() OVER (PARTITION BY project_id, src ORDER BY confidence DESC, dst) <= 4), "
+    "en AS (SELECT project_id, src AS node FROM edges WHERE type = 'CALLS' EXCEPT SELECT project_id, dst FROM edges WHERE type = 'CALLS'), "
+    "p AS (SELECT project_id, node AS entry, [node] AS path FROM en UNION ALL SELECT p.project_id, p.entry, list_append(p.path, e.dst) FROM p JOIN e ON e.project_id = p.project_id AND e.src = p.path[-1] WHERE len(p.path) < 10 AND NOT list_contains(p.path, e.dst)), "
+    "q AS (SELECT *, '|' || array_to_string(path, '|') || '|' AS s FROM p WHERE len(path) >= 3), "
+    "r AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM q l WHERE l.project_id = q.project_id AND len(l.path) > len(q.path) AND contains(l.s, q.s))), "
+    "b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY project_id, entry, path[-1] ORDER BY len(path) DESC, path) = 1), "
+    "t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY project_id, entry ORDER BY len(path) DESC, path) <= 12) "
+    "SELECT project_id, entry, array_to_string(path, ' > ') AS trace, len(path) AS steps FROM t",
+)
 def process_traces(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
     s = e.filter("type = 'CALLS'")
@@ -247,7 +285,7 @@ def method_resolution(spark: SparkSession, d: str) -> DataFrame:
 _REN = "o AS (SELECT o_custkey, o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS old FROM orders), r AS (SELECT o_custkey AS project, old, o_orderkey AS new FROM o WHERE old IS NOT NULL)"
 
 
-@R.add("symbol_lineage", "WITH RECURSIVE " + _REN + ", c AS (SELECT project, old AS start, new AS current, 1 AS hops FROM r UNION ALL SELECT c.project, c.start, r.new, c.hops + 1 FROM c JOIN r ON r.project = c.project AND r.old = c.current WHERE c.hops < 4) SELECT * FROM c")
+@R.add("symbol_lineage", "WITH RECURSIVE " + _REN + ", c AS (SELECT project, old AS start, new AS current, 1 AS hops FROM r UNION ALL SELECT c.project, c.start, r.new, c.hops + 1 FROM c JOIN r ON r.project = c.project AND r.old = c.current WHERE c.hops < 10) SELECT * FROM c")
 def symbol_lineage(spark: SparkSession, d: str) -> DataFrame:
     """Rename chains (consecutive orders of a customer), up to ten hops."""
     from pyspark.sql.window import Window

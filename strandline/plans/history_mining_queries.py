@@ -33,34 +33,34 @@ _KNOWN = "(txn_from IS NULL OR txn_from <= TIMESTAMP '{t}') AND (txn_to IS NULL
 
 @R.add("asof_valid", with_("facts") + f"SELECT {_FACT} FROM facts WHERE {_VALID.format(t=T1)}")
 def asof_valid(spark: SparkSession, d: str) -> DataFrame:
-    return _cols(B.valid_at(_facts(spark, d), T1))
+    return _cols(canon.facts(spark, d, lambda f: B.valid_at(f, T1)))
 
 
 @R.add("asof_known", with_("facts") + f"SELECT {_FACT} FROM facts WHERE {_KNOWN.format(t=T1)}")
 def asof_known(spark: SparkSession, d: str) -> DataFrame:
-    return _cols(B.known_at(_facts(spark, d), T1))
+    return _cols(canon.facts(spark, d, lambda f: B.known_at(f, T1)))
 
 
 @R.add("asof_both", with_("facts") + f"SELECT {_FACT} FROM facts WHERE {_VALID.format(t=T1)} AND {_KNOWN.format(t=T2)}")
 def asof_both(spark: SparkSession, d: str) -> DataFrame:
-    return _cols(B.as_of(_facts(spark, d), T1, T2))
+    return _cols(canon.facts(spark, d, lambda f: B.as_of(f, T1, T2)))
 
 
 @R.add("code_as_of", with_("facts") + f"SELECT project_id, src AS node, 'out' AS direction, dst AS other, type FROM facts WHERE {_VALID.format(t=T1)} UNION ALL SELECT project_id, dst, 'in', src, type FROM facts WHERE {_VALID.format(t=T1)}")
 def code_as_of(spark: SparkSession, d: str) -> DataFrame:
-    v = B.valid_at(_facts(spark, d), T1)
+    v = canon.facts(spark, d, lambda f: B.valid_at(f, T1))
     out = v.select("project_id", F.col("src").alias("node"), F.lit("out").alias("direction"), F.col("dst").alias("other"), "type")
     return out.union(v.select("project_id", "dst", F.lit("in"), "src", "type"))
 
 
 @R.add("relations_in_range", with_("facts") + f"SELECT {_FACT} FROM facts WHERE coalesce(valid_from, TIMESTAMP '1970-01-01') BETWEEN TIMESTAMP '{T1}' AND TIMESTAMP '{T2}' AND coalesce(valid_to, TIMESTAMP '9999-12-31 23:59:59') <= TIMESTAMP '{T2}'")
 def relations_in_range(spark: SparkSession, d: str) -> DataFrame:
-    return _cols(B.within_range(_facts(spark, d), T1, T2))
+    return _cols(canon.facts(spark, d, lambda f: B.within_range(f, T1, T2)))
 
 
 @R.add("changes_between", with_("facts") + f"SELECT update_id, project_id, type, valid_from, CASE WHEN valid_to IS NULL THEN 'created' ELSE 'superseded' END AS action FROM facts WHERE valid_from > TIMESTAMP '{T1}' AND valid_from <= TIMESTAMP '{T2}'")
 def changes_between(spark: SparkSession, d: str) -> DataFrame:
-    return B.changes_between(_facts(spark, d), T1, T2, active_only=False).select("update_id", "project_id", "type", "valid_from", "action")
+    return canon.facts(spark, d, lambda f: B.changes_between(f, T1, T2, active_only=False)).select("update_id", "project_id", "type", "valid_from", "action")
 
 
 @R.add(
@@ -69,7 +69,7 @@ def changes_between(spark: SparkSession, d: str) -> DataFrame:
     f"WHERE valid_from > TIMESTAMP '{T1}' AND valid_from <= TIMESTAMP '{T2}' AND valid_to IS NULL ORDER BY valid_from DESC, update_id LIMIT 50",
 )
 def changes_between_top(spark: SparkSession, d: str) -> DataFrame:
-    c = B.changes_between(_facts(spark, d), T1, T2).select("update_id", "valid_from")
+    c = canon.facts(spark, d, lambda f: B.changes_between(f, T1, T2)).select("update_id", "valid_from")
     return B.truncated(c, [F.col("valid_from").desc(), F.col("update_id")], 50)
 
 
@@ -79,7 +79,7 @@ def changes_between_top(spark: SparkSession, d: str) -> DataFrame:
     f"SELECT {_E}, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT {_E}, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)",
 )
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    return B.snapshot_diff(_facts(spark, d), _E.split(", "), T1, T2)
+    return B.snapshot_diff(canon.delivered(spark, d), _E.split(", "), T1, T2)
 
 
 @R.add(
@@ -222,7 +222,7 @@ def co_changes_top(spark: SparkSession, d: str) -> DataFrame:
     "SELECT project_id, route, change_count, stability, round(CASE WHEN m >= 1 THEN change_count / m ELSE change_count END, 6) AS frequency, CASE WHEN stability >= 0.8 THEN 'stable' WHEN stability >= 0.5 THEN 'moderate' ELSE 'volatile' END AS class FROM f",
 )
 def api_stability(spark: SparkSession, d: str) -> DataFrame:
-    f = _facts(spark, d).filter("type = 'FETCHES'").select("project_id", F.col("dst").alias("route"), F.col("update_id").alias("commit"), F.col("valid_from").alias("ts"))
+    f = canon.facts(spark, d, lambda f: f.filter("type = 'FETCHES'")).select("project_id", F.col("dst").alias("route"), F.col("update_id").alias("commit"), F.col("valid_from").alias("ts"))
     return C.stability(f, ["project_id", "route"])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..io import table
 from ..operators import ingest as I
@@ -29,7 +30,7 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bm(spark: SparkSession, d: str) -> DataFrame:
-    return S.bm25(S.terms(table(spark, d, "documents"), "doc_id", "text"), _Q)
+    return S.bm25(table(spark, d, "documents"), "doc_id", "text", _Q)
 
 
 @R.add("search_code", _BM + " SELECT doc, score FROM bm ORDER BY score DESC, doc LIMIT 10")
@@ -37,12 +38,12 @@ def search_code(spark: SparkSession, d: str) -> DataFrame:
     return _bm(spark, d).orderBy(F.col("score").desc(), "doc").limit(10)
 
 
-_VEC = "WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.id AS query, v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v, v q WHERE q.id IN (3, 14, 77) AND v.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s)"
+_VEC = "WITH v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), s AS (SELECT q.id AS query, v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v, v q WHERE q.id % 100 = 0 AND v.id <> q.id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM s)"
 
 
 def _similar(spark: SparkSession, d: str, k: int) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return S.top_similar(v, v.filter(F.col("id").isin(3, 14, 77)), k)
+    return S.top_similar(v, v.filter(F.col("id") % 100 == 0), k)
 
 
 @R.add("similar_code", _VEC + " SELECT query, id, rank, score FROM r WHERE rank <= 5")
@@ -52,15 +53,20 @@ def similar_code(spark: SparkSession, d: str) -> DataFrame:
 
 @R.add(
     "hybrid_search",
-    _BM + ", v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), vs AS (SELECT v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v, v q WHERE q.id = 3 AND v.id <> 3), "
-    "a AS (SELECT doc AS id, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 50), b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 50), "
-    "u AS (SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1) SELECT id, score FROM u ORDER BY score DESC, id LIMIT 10",
+    _BM + ", v AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), vs AS (SELECT q.id AS query, v.id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v, v q WHERE q.id % 100 = 0 AND v.id <> q.id), "
+    "a AS (SELECT doc AS id, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 50), b AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM vs QUALIFY rank <= 50), "
+    "u AS (SELECT query, id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score FROM (SELECT q.query, a.id, a.rank FROM a, (SELECT DISTINCT query FROM b) q UNION ALL SELECT * FROM b) GROUP BY 1, 2) "
+    "SELECT query, id, score FROM u QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10",
 )
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Reciprocal rank fusion of 50 keyword and 50 vector hits."""
+    """Reciprocal rank fusion of 50 keyword and 50 vector hits, for every query
+    vector (each id divisible by 100) beside the same words."""
     a = S.ranked(_bm(spark, d), "score", "doc", 50)
-    b = _similar(spark, d, 50).filter("query = 3").select("id", "rank")
-    return S.rrf([a, b]).orderBy(F.col("score").desc(), "id").limit(10)
+    b = _similar(spark, d, 50).select("query", "id", "rank")
+    a = b.select("query").distinct().crossJoin(F.broadcast(a))  # 50 rows
+    s = S.rrf([a, b], ["query"])
+    w = Window.partitionBy("query").orderBy(F.col("score").desc(), "id")
+    return s.withColumn("r", F.row_number().over(w)).filter("r <= 10").drop("r")
 
 
 @R.add("fuzzy_match", "WITH n AS (SELECT DISTINCT p_name FROM part), s AS (SELECT p_name, lower(trim(p_name)) AS n FROM n) SELECT p_name, CASE WHEN n = 'red widget' THEN 1.0::DOUBLE WHEN contains(n, 'red widget') OR (contains('red widget', n) AND n <> '') THEN 0.8::DOUBLE ELSE round((CAST(list_contains(string_split(n, ' '), 'red') AS INTEGER) + CAST(list_contains(string_split(n, ' '), 'widget') AS INTEGER)) / 2.0 * 0.5, 6)::DOUBLE END AS score FROM s")
@@ -82,6 +88,20 @@ def doc_classifier(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", K.doc_class(F.coalesce("file_path", F.lit("")), F.col("text")).alias("confidence"))
 
 
+#: change sets that took a path away or brought it (back)
+_GONE = (
+    "ga AS (SELECT project_id, file_path, max(t) AS gone FROM (SELECT project_id, unnest(deleted) AS file_path, commit_ts AS t FROM change_sets WHERE {when}) GROUP BY 1, 2), "
+    "ba AS (SELECT project_id, file_path, max(t) AS back FROM (SELECT project_id, unnest(list_concat(coalesce(added, []), coalesce(modified, []))) AS file_path, commit_ts AS t FROM change_sets WHERE {when}) GROUP BY 1, 2)"
+)
+_FRESH = (
+    "WITH x AS (SELECT doc_id, project_id, file_path, ingested_at, sha256(trim(text)) AS sig, sha256(regexp_replace(text, '\\s+', '', 'g')) AS ast FROM documents), "
+    "l AS (SELECT project_id, file_path, doc_id AS code_id, ingested_at FROM x WHERE project_id IS NOT NULL AND file_path IS NOT NULL QUALIFY row_number() OVER (PARTITION BY project_id, file_path ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) = 1), "
+    + _GONE.format(when="true")
+    + ", th AS (SELECT l.code_id FROM l LEFT JOIN ga ON ga.project_id = l.project_id AND ga.file_path = l.file_path LEFT JOIN ba ON ba.project_id = l.project_id AND ba.file_path = l.file_path WHERE ga.gone IS NULL OR ga.gone <= greatest(l.ingested_at, ba.back)), "
+    "st AS (SELECT x.doc_id AS entity_id, l.code_id, CASE WHEN l.code_id IS NULL THEN 'unbound' WHEN c.doc_id IS NULL THEN 'orphaned' WHEN x.sig IS NOT DISTINCT FROM c.sig AND x.ast IS NOT DISTINCT FROM c.ast THEN 'fresh' ELSE 'stale' END AS state "
+    "FROM x LEFT JOIN l ON l.project_id = x.project_id AND l.file_path = x.file_path LEFT JOIN (SELECT x.* FROM x JOIN th ON th.code_id = x.doc_id) c ON c.doc_id = l.code_id) "
+)
+
 
 
 def _standing(spark: SparkSession, d: str, paths: DataFrame, until: str | None = None) -> DataFrame:
@@ -98,7 +118,7 @@ def _standing(spark: SparkSession, d: str, paths: DataFrame, until: str | None =
     return j.filter(F.col("gone").isNull() | (F.col("gone") <= F.greatest("ingested_at", "back"))).drop("gone", "back")
 
 
-@R.add("entity_freshness", "WITH e AS (SELECT doc_id AS entity_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id + 1 END AS code_id, sha256(trim(text)) AS sig, sha256(regexp_replace(text, '\\s+', '', 'g')) AS ast FROM documents), c AS (SELECT doc_id AS code_id, sha256(trim(text)) AS csig, sha256(regexp_replace(text, '\\s+', '', 'g')) AS ca FROM documents WHERE doc_id % 3 > 0) SELECT entity_id, e.code_id, CASE WHEN e.code_id IS NULL THEN 'unbound' WHEN c.code_id IS NULL THEN 'orphaned' WHEN sig = csig AND ast = ca THEN 'fresh' ELSE 'stale' END AS state FROM e LEFT JOIN c ON e.code_id = c.code_id")
+@R.add("entity_freshness", _FRESH + "SELECT entity_id, code_id, state FROM st")
 def entity_freshness(spark: SparkSession, d: str) -> DataFrame:
     """Each text bound to the last text of its path: unbound (no project or
     path), orphaned (the path was deleted since), stale or fresh."""
@@ -112,7 +132,7 @@ def entity_freshness(spark: SparkSession, d: str) -> DataFrame:
     return K.freshness(e, c)
 
 
-@R.add("freshness_summary", "WITH e AS (SELECT doc_id AS entity_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id + 1 END AS code_id, trim(text) AS t FROM documents), c AS (SELECT doc_id AS code_id, trim(text) AS t FROM documents WHERE doc_id % 3 > 0), s AS (SELECT CASE WHEN e.code_id IS NULL THEN 'unbound' WHEN c.code_id IS NULL THEN 'orphaned' WHEN e.t = c.t THEN 'fresh' ELSE 'stale' END AS state FROM e LEFT JOIN c ON e.code_id = c.code_id) SELECT state, count(*) AS n FROM s GROUP BY 1")
+@R.add("freshness_summary", _FRESH + "SELECT state, count(*) AS n FROM st GROUP BY 1")
 def freshness_summary(spark: SparkSession, d: str) -> DataFrame:
     return entity_freshness(spark, d).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
 
@@ -244,10 +264,20 @@ def _snapshot(spark: SparkSession, d: str, until: str | None = None) -> DataFram
     return _standing(spark, d, last, until).drop("ingested_at")
 
 
+def _snap(name: str, until: str) -> str:
+    """A snapshot in SQL; every step is named after it."""
+    gone = _GONE.format(when=f"commit_ts <= {until}").replace("ga AS", f"ga{name} AS").replace("ba AS", f"ba{name} AS")
+    return (
+        f"l{name} AS (SELECT project_id, file_path, ingested_at, sha256(content) AS h FROM source_files WHERE ingested_at <= {until} QUALIFY row_number() OVER (PARTITION BY project_id, file_path ORDER BY ingested_at DESC, file_id DESC) = 1), {gone}, "
+        f"{name} AS (SELECT l.project_id, l.file_path, l.h FROM l{name} l LEFT JOIN ga{name} g ON g.project_id = l.project_id AND g.file_path = l.file_path LEFT JOIN ba{name} b ON b.project_id = l.project_id AND b.file_path = l.file_path "
+        "WHERE g.gone IS NULL OR g.gone <= greatest(l.ingested_at, b.back))"
+    )
+
+
 @R.add(
     "changed_files",
-    "WITH " + _SF + ", a AS (SELECT project_id, file_path, sha256(content) AS h FROM sf WHERE file_id % 4 <> 0), b AS (SELECT project_id, file_path, CASE WHEN file_id % 7 = 0 THEN sha256(content || 'x') ELSE sha256(content) END AS h FROM sf WHERE file_id % 5 <> 0) "
-    "SELECT * FROM (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.h IS NULL THEN 'added' WHEN b.h IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'modified' END AS change FROM a FULL JOIN b ON a.project_id = b.project_id AND a.file_path = b.file_path) WHERE change IS NOT NULL",
+    "WITH " + _snap("a", f"TIMESTAMP '{_OLD}'") + ", " + _snap("b", "TIMESTAMP '9999-01-01'") + " "
+    "SELECT * FROM (SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.file_path, b.file_path) AS file_path, CASE WHEN a.project_id IS NULL THEN 'added' WHEN b.project_id IS NULL THEN 'deleted' WHEN a.h <> b.h THEN 'modified' END AS change FROM a FULL JOIN b ON a.project_id = b.project_id AND a.file_path = b.file_path) WHERE change IS NOT NULL",
 )
 def changed_files(spark: SparkSession, d: str) -> DataFrame:
     """All files as they stood at an instant and now, compared by content hash."""

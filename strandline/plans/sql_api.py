@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.graph import bfs
 
 from . import canon
 
@@ -24,7 +27,7 @@ TEMPLATES = {
     "count_by_type": "SELECT type, count(*) AS n FROM nodes WHERE project_id = :project GROUP BY type",
     "changes_of_file": "SELECT commit_hash, ts FROM file_change WHERE project_id = :project AND file_path = :file",
     "project_size": "SELECT count(*) AS n FROM nodes WHERE project_id = :project",
-    "reach": "WITH RECURSIVE r(node, depth) AS (SELECT :id, 0 UNION ALL SELECT e.dst, r.depth + 1 FROM r JOIN edges e ON e.src = r.node AND e.project_id = :project WHERE r.depth < :depth) SELECT node, min(depth) AS depth FROM r GROUP BY node",
+    "reach": "breadth-first from :id in :project, at most :depth levels",
 }
 
 
@@ -54,4 +57,10 @@ def safe_query(spark: SparkSession, template: str, **args: object) -> DataFrame:
         raise ValueError(f"missing parameters {sorted(need - set(args))}")
     if "depth" in need and not 1 <= int(args["depth"]) <= 10:  # type: ignore[call-overload]
         raise ValueError("depth must be 1 to 10")
+    if template == "reach":
+        # by frontier, each node once; recursive SQL would list every walk
+        e = spark.table("edges").filter(F.col("project_id") == args["project"])
+        seed = spark.createDataFrame([(args["project"], args["id"])], "project_id string, node string")
+        types = [r.type for r in e.select("type").distinct().collect()]  # edge types, a fixed catalogue
+        return bfs(e, seed, int(args["depth"]), "downstream", tuple(types) or ("",)).select("node", "depth")  # type: ignore[call-overload]
     return spark.sql(TEMPLATES[template], args={k: args[k] for k in need})

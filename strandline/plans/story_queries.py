@@ -9,7 +9,7 @@ from ..io import table
 from . import canon
 from .canon import with_
 from .registry import Registry
-from .retrieval_queries import entity_freshness
+from .retrieval_queries import _FRESH, entity_freshness
 
 R = Registry()
 
@@ -34,7 +34,7 @@ def narrative_refs(spark: SparkSession, d: str) -> DataFrame:
     return r.join(table(spark, d, "relation_updates").select(F.col("update_id").alias("ref")), "ref", "left_anti").select("doc_id", "ref")
 
 
-@R.add("auto_fix_preview", "WITH e AS (SELECT doc_id AS entity_id, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id + 1 END AS code_id, trim(text) AS t FROM documents), c AS (SELECT doc_id AS code_id, trim(text) AS t FROM documents WHERE doc_id % 3 > 0), s AS (SELECT entity_id, CASE WHEN e.code_id IS NULL THEN 'unbound' WHEN c.code_id IS NULL THEN 'orphaned' WHEN e.t = c.t THEN 'fresh' ELSE 'stale' END AS state FROM e LEFT JOIN c ON e.code_id = c.code_id) SELECT entity_id, CASE state WHEN 'stale' THEN 'refresh' WHEN 'orphaned' THEN 'delete' ELSE 'bind' END AS action FROM s WHERE state <> 'fresh'")
+@R.add("auto_fix_preview", _FRESH + "SELECT entity_id, CASE state WHEN 'stale' THEN 'refresh' WHEN 'orphaned' THEN 'delete' ELSE 'bind' END AS action FROM st WHERE state <> 'fresh'")
 def auto_fix_preview(spark: SparkSession, d: str) -> DataFrame:
     f = entity_freshness(spark, d).filter("state <> 'fresh'")
     return f.select("entity_id", F.when(F.col("state") == "stale", "refresh").when(F.col("state") == "orphaned", "delete").otherwise("bind").alias("action"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ def local_session(app: str = "strandline", cpus: int | str = "*", **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in conf.items():
@@ -35,7 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "strandline-checkpoints"))
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    sc.setCheckpointDir(named or _own_folder())
+
+
+def _own_folder() -> str:
+    """A folder for one machine, removed when the driver ends."""
+    folder = tempfile.mkdtemp(prefix="strandline-checkpoints-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -67,12 +79,12 @@ def ship(spark: SparkSession) -> None:
     app = sc.applicationId
     if app in _SHIPPED:
         return
-    import shutil
     from pathlib import Path
 
     here = Path(__file__).resolve().parent
     if here.is_dir() and not any(p.suffix == ".zip" for p in here.parents):
         folder = tempfile.mkdtemp(prefix="strandline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         copy = Path(folder, "src", here.name)
         shutil.copytree(here, copy, ignore=shutil.ignore_patterns("__pycache__"))
         sc.addPyFile(shutil.make_archive(os.path.join(folder, "strandline_package"), "zip", copy.parent))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.ingest import ignored, language, parse_git_log
 
 MAX_BYTES = 512 * 1024
+#: stands before each commit of an exported log
+RECORD = "\x1e"
 #: extensions of binary files (fixed values)
 BINARY = "png jpg jpeg gif ico pdf zip gz tar jar class exe dll so dylib woff woff2 ttf eot mp3 mp4 mov wav bin dat parquet".split()
 
@@ -29,14 +31,15 @@ def walk(spark: SparkSession, root: str, project_id: str, max_bytes: int = MAX_B
 
 
 def git_log(spark: SparkSession, path: str) -> DataFrame:
-    """File changes from exported logs (one text file per repository)."""
-    t = spark.read.text(path, wholetext=True).withColumn("repo", F.col("_metadata.file_name"))
+    """File changes from exported logs (text files, a record separator before
+    each commit, so a long log is read as many rows)."""
+    t = spark.read.text(path, lineSep=RECORD).withColumn("repo", F.col("_metadata.file_name"))
     return parse_git_log(t.select("repo", F.col("value").alias("text")))
 
 
 def export_git_log(repo: str, since: str | None = None, max_commits: int = 10_000) -> str:
     """Runs git on the driver and returns the log text git_log reads."""
-    cmd = ["git", "-C", repo, "log", "--no-merges", "--name-status", f"-n{max_commits}", "--format=%H|%an|%ae|%aI|%s"]
+    cmd = ["git", "-C", repo, "log", "--no-merges", "--name-status", f"-n{max_commits}", f"--format={RECORD}%H|%an|%ae|%aI|%s"]
     if since:
         cmd.append(f"{since}..HEAD" if len(since) >= 7 and all(c in "0123456789abcdef" for c in since) else f"--since={since}")
     return subprocess.run(cmd, check=True, capture_output=True, text=True, timeout=300).stdout

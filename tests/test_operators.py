@@ -70,7 +70,8 @@ def test_graph(spark):
     n = spark.createDataFrame([("p", i, i == "x") for i in "abcdexy"], "project_id string, id string, is_exported boolean")
     assert {r.id: (r.reason, r.confidence) for r in G.no_inbound(n, e).collect()} == {"d": ("no_callers_internal", 0.9), "x": ("no_callers_exported", 1.0), "e": ("only_self", 0.95)}
     t = G.traces(e, spark.createDataFrame([("p", "d")], "project_id string, node string")).collect()
-    assert [r.path for r in t] == [["d", "c", "a", "b"], ["d", "c", "a"]]
+    # a path that is a part of a longer one is left out
+    assert [r.path for r in t] == [["d", "c", "a", "b"]]
     r = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "c", "a")], "project string, old string, new string")
     assert {(x.start, x.current, x.hops) for x in G.rename_chain(r).collect()} == {("a", "b", 1), ("b", "c", 1), ("c", "a", 1), ("a", "c", 2), ("b", "a", 2), ("c", "b", 2)}
 
@@ -82,12 +83,45 @@ def test_mro(spark):
     assert {r.node: r.mro for r in G.method_resolution(e).collect()}["d"] == ["d", "b", "c", "a"]
 
 
+def test_no_bound_on_levels_or_ancestors(spark):
+    chain = edges(spark, [(f"n{k:03}", f"n{k + 1:03}") for k in range(40)] + [("z", "n000"), ("y", "y2"), ("y2", "y"), ("y2", "y3")])
+    lv = {r.node: r.level for r in G.topological_levels(chain).collect()}
+    assert lv["z"] == 0 and all(lv[f"n{k:03}"] == k + 1 for k in range(41)) and lv["y"] == lv["y2"] == lv["y3"] == -1
+    mro = {r.node: r.mro for r in G.method_resolution(edges(spark, [(f"c{k:02}", f"c{k + 1:02}") for k in range(16)], "EXTENDS")).collect()}
+    assert mro["c00"] == [f"c{k:02}" for k in range(17)]
+    # diamonds above diamonds: each class is merged once, not once per way up
+    deep = {f"d{k}": [f"a{k}", f"b{k}"] for k in range(40)} | {f"{c}{k}": [f"d{k + 1}"] for k in range(40) for c in "ab"}
+    assert len(G.c3(deep, "d0")) == 121
+    long = edges(spark, [(f"n{k:03}", f"n{k + 1:03}") for k in range(90)])
+    assert {r.component for r in G.components(long).collect()} == {"n000"}
+
+
+def test_wide_commits_and_pruning(spark):
+    rows = [(f"f{i:04}", 1) for i in range(600)] + [("f0000", 2), ("f0599", 2), ("g", 2)]
+    ch = spark.createDataFrame(rows, "node string, commit_hash long")
+    assert C.pair_counts(ch, []).count() == 600 * 599 // 2 + 2
+    assert [tuple(r) for r in C.pair_counts(ch, [], min_count=2).collect()] == [("f0000", "f0599", 2)]
+
+
+def test_top_similar_in_blocks(spark):
+    import numpy as np
+
+    x = np.random.default_rng(1).standard_normal((120, 8)).round(1)
+    rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(200, [float(v) for v in x[3]])]
+    v = spark.createDataFrame(rows, "id long, embedding array<float>")
+    want = S.top_similar(v, v.filter("id % 10 = 0"), 4)
+    got = S.top_similar(v, v.filter("id % 10 = 0"), 4, vector_block=17, query_block=3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 13 * 4
+
+
 def test_git_log_and_blame(spark):
     h = "a" * 40
     log = f"{h}|An|an@x|2026-01-01T00:00:00Z|fix: a | b\r\n\r\nA\tsrc/a.ts\r\nM\tb.ts\nD\tc.ts\nR100\told.ts\tnew.ts\nC75\tx.ts\ty.ts\nT\tz.ts\n"
     rows = I.parse_git_log(spark.createDataFrame([("r", log)], "repo string, text string")).collect()
     assert [(r.change_type, r.file_path, r.new_path) for r in rows] == [("added", "src/a.ts", None), ("modified", "b.ts", None), ("deleted", "c.ts", None), ("renamed", "old.ts", "new.ts"), ("added", "y.ts", None)]
     assert rows[0].message == "fix: a | b" and rows[0].email == "an@x"
+    two = I.parse_git_log(spark.createDataFrame([("r", log + log.replace("a" * 40, "b" * 40))], "repo string, text string"))
+    assert sorted((r.hash[0], r.n) for r in two.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).collect()) == [("a", 5), ("b", 5)]
     b = I.parse_blame(spark.createDataFrame([("f", "author-mail <a@x>\n\tx\nauthor-mail <a@x>\n\ty\nauthor-mail <b@x>\n\tz\n")], "path string, text string")).collect()
     assert {(r.email, r.lines, r.share) for r in b} == {("a@x", 2, 0.6667), ("b@x", 1, 0.3333)}
 
