@@ -149,7 +149,7 @@ To be completed.
 To be filled in.
 To be written later.
 Will be written.
-(TBD)
+TBD
 TBD.
 Coming soon...
 Under construction.

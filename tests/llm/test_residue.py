@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import random
 
-from strandline.llm.residue import clean_documents, mask_code, residue_coverage, residue_documents, segments
+from strandline.llm.residue import PROSE as ABOUT
+from strandline.llm.residue import RESIDUE, Grams, clean_documents, mask_code, residue_coverage, residue_documents, segments
 
 PROSE = [
     "The {a} job ran {n} minutes late because the {b} queue was full.", "We now read each {a} only once, which cut the run from {n} to {n} seconds.",
@@ -25,6 +26,18 @@ def prose(rnd):
     return " ".join(rnd.choice(PROSE).format(a=rnd.choice(WORDS), b=rnd.choice(WORDS), n=rnd.randrange(999)) for _ in range(5))
 
 
+def test_wordings_are_held_out():
+    fit = [x for t in [*RESIDUE.values(), ABOUT] for x in t.strip().split("\n")]
+    assert not [x for x in (*BAD, *FINE) if len(x) > 12 and any(x in y or (len(y) > 12 and y in x) for y in fit)]
+
+
+def test_views_look_alike():
+    a, b = Grams(["{{ user.name }}"]), Grams(["{{ Order.total }}"])
+    assert a.views[1][0].tolist() == b.views[1][0].tolist() and a.views[0][0].tolist() != b.views[0][0].tolist()
+    many = Grams(["", "abc", "{{ user.name }}"])
+    assert many.views[1][0][many.views[1][1][2] :].tolist() == a.views[1][0].tolist()
+
+
 def test_segments():
     assert mask_code("a\n```\nb\n```\nc `d` e") == "a\n\n\nc  c  e"
     assert segments("> When a reader has it\n> turned off we wait. Then\n\n{% if x %}\nThe end.") == ["When a reader has it turned off we wait.", "Then", "{% if x %}", "The end."]
