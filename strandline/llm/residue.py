@@ -46,6 +46,8 @@ SIZE = 1 << BITS
 STRENGTH, PART = 9.0, 0.5
 #: a segment of more than SHORT n-grams needs more
 SHORT, LONG_STRENGTH = 8, 14.0
+#: enough per n-gram for the shortest segments, which can't reach STRENGTH
+FULL = 1.5
 #: a template window this strong counts whatever its part of the segment
 ALONE = 20.0
 #: strength and part of a segment the models are sure of, and strength of a
@@ -62,6 +64,8 @@ MARGIN = 1.2
 UNSEEN = -0.6
 #: n-grams of a class the corpus may teach, in units of the examples'
 TAUGHT = 4.0
+#: share given to n-grams that prose does not have, in a corpus of any size
+RARE = 3e-7
 #: slices of an array of counts, and arrays summed at once
 SLICES, FAN = 16, 64
 
@@ -415,7 +419,7 @@ class Models:
         for v in range(2):
             n = prose[v].astype(float)
             total = n.sum()
-            p = np.log((n + 0.3) / (total + 0.3 * 50_000)) if total > 1 else np.full(SIZE, -11.0)
+            p = np.log(n / max(total, 1.0) + RARE)
             k = np.bincount(told.views[v][0], minlength=SIZE)
             # sentences about residue count as a fixed part of prose
             p = np.maximum(p, np.log((k + 1e-9) / max(1, k.sum())))
@@ -441,7 +445,7 @@ class Models:
         inside = [np.full(len(h), -1, dtype=np.int8) for h, _ in g.views]
         for v, (h, at) in enumerate(g.views):
             size = np.diff(at)
-            need = np.where(size > SHORT, max(strength, LONG_STRENGTH), strength)
+            need = np.where(size > SHORT, max(strength, LONG_STRENGTH), np.minimum(strength, FULL * size))
             if not len(h):
                 continue
             most = np.add.reduceat(self.best[v][h].astype(np.float64), at[:-1])
