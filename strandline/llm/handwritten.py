@@ -1,16 +1,15 @@
 """Generated, minified and vendored files, and data kept as code.
 
 A random forest decides, trained here on a bounded sample of rows. Labels come
-from notices: header comments that name a generator, a foreign package or
-licence, or a delivery banner, from texts that are almost only literals, and
-from near copies in several projects (but for the one whose own notice it
-bears). Copies
-of one library are one example, so the forest can't learn a library by heart.
-What gives the label is hidden from the features: leading comments are cut off, and
-no literal share is used. Features are compression ratio, token entropy,
-identifier lengths, comment density, line shapes, path hints, whether the same
-code (small changes allowed) lies in another project, and whether the file is
-named like a package seen in a vendor folder.
+from header notices: comments at the top that name a generator, a foreign
+package or licence, or a delivery banner; and, since data kept as code never
+bears one, from texts that are almost only literals. Whatever gives the label is
+hidden from the features: leading comments are cut off before anything is
+measured, and no share of literals is. Copies of one library are one example, so
+the forest can't learn a library by heart. Features are compression ratio, token entropy, identifier lengths,
+comment density, line shapes, path hints, whether the same code
+(small changes allowed) lies in another project, and whether the file is named
+like a package seen in a vendor folder.
 
 Files without a notice are unlabelled, not negative: after the first fit, files
 whose out-of-bag score reaches a part of the mean of labelled files (Elkan and
@@ -18,11 +17,13 @@ Noto's estimate of how many bear a notice) count as positive, and the forest is
 fitted again. Labels only fit: every file, labelled or not, gets the mean vote
 of the trees that did not draw its example, so a false label can be outvoted.
 
-Scale: one pass over the files makes features and min-hash signatures; near
-copies are found by banding, where each band bucket keeps leaders and compares
-members with leaders only (linear output, never pairs); equal texts are one row
-there. The forest (a few hundred kB) and at most ``SAMPLE_ROWS`` rows of
-features are all that passes through the driver.
+Scale: one pass over the files makes features and min-hash signatures. Near
+copies are found by banding: only (band, text) travels, buckets that hold texts
+of one project are dropped, and signatures follow to the rest. A bucket is cut
+into parts of bounded size; each part keeps leaders and compares its members
+with leaders only, then the leaders of all parts are compared in the same way
+(linear output, never pairs). The forest (a few hundred kB) and at most
+``SAMPLE_ROWS`` rows of features are all that passes through the driver.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ NEAR = 0.55
 MIN_SHINGLES = 12
 TREES, DEPTH, LEAF = 60, 10, 4
 THRESHOLD = 0.5
+#: share of literals in a text that is data kept as code
+BLOB = 0.6
 #: rounds of relabelling, and the part of the mean labelled score that relabels
 ROUNDS, CANDIDATE = 2, 0.25
 
@@ -82,15 +85,14 @@ def notice(project: str | None, text: str) -> bool:
         who = next(x for x in m.groups() if x)
         if (m[1] or m[2]) or who.rstrip(".").lower() not in ((project or "").lower(), "the"):
             return True
-    body = text[len(_LEADING.match(text)[0]) :]
-    lit = sum(len(x) for x in _TOKEN.findall(body) if x[0] in "\"'" or x[0].isdigit())
-    return lit > 0.6 * max(1, sum(1 for ch in body if not ch.isspace()))
+    return False
 
 
-def own_notice(project: str | None, text: str) -> bool:
-    """Whether a notice names the file's own project."""
-    head = _LEADING.match(text)[0]
-    return any((m[3] or m[4] or "").rstrip(".").lower() == (project or "").lower() != "" for m in _FOREIGN.finditer(head))
+def blob(text: str) -> bool:
+    """Whether the text is almost only literals: data kept as code."""
+    body = _CONTROL.sub("", text)[len(_LEADING.match(text)[0]) :]
+    lit = sum(len(x) for x in _TOKEN.findall(body) if x[0] in "\"'" or x[0].isdigit())
+    return lit > BLOB * max(1, sum(1 for ch in body if not ch.isspace()))
 
 
 def features(path: str | None, text: str) -> list[float]:
@@ -106,7 +108,7 @@ def features(path: str | None, text: str) -> list[float]:
     k = max(1, len(ids))
     # one long text in quotes does not make a line a pressed one
     lines = [ln.strip() for ln in _LONG_TEXT.sub('"s"', body).split("\n") if ln.strip()]
-    shape = Counter(re.sub(r"\w+", "w", re.sub(r"\"[^\"]*\"|'[^']*'", "s", ln[:200])) for ln in lines)
+    shape = Counter(re.sub(r"\w+", "w", re.sub(r"\"[^\"]*\"|'[^']*'", "s", ln)) for ln in lines)
     m = max(1, len(lines))
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)), -sum(c / n * math.log2(c / n) for c in count.values()), sum(map(len, ids)) / k,
@@ -222,36 +224,53 @@ class Forest:
         return votes / np.maximum(n, 1)
 
 
-def _near_copies(sig: DataFrame) -> DataFrame:
+#: texts of a bucket that are compared in one task
+BUCKET = 4_096
+
+
+def _lead(s: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Position of each row's leader: the first row before it that it agrees
+    with, or itself."""
+    lead = np.empty(len(s), dtype=np.int64)
+    kept, n = np.empty_like(s), 0
+    at = np.empty(len(s), dtype=np.int64)
+    for i in order:
+        if n:
+            agree = (kept[:n] == s[i]).mean(axis=1)
+            j = int(agree.argmax())
+            if agree[j] >= NEAR:
+                lead[i] = at[j]
+                continue
+        kept[n], at[n] = s[i], i
+        n += 1
+        lead[i] = i
+    return lead
+
+
+def _near_copies(sig: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(body) of the texts that also lie, nearly, in another project. ``sig``
     has one row per text and project: body, project, sig."""
     texts = sig.groupBy("body").agg(F.min("project").alias("lo"), F.max("project").alias("hi"), F.first("sig").alias("sig"))
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * ROWS + 1, ROWS)))
-    rows = texts.select("body", "lo", "hi", "sig", F.explode(bands).alias("band"))
+    rows = texts.select("body", "lo", "hi", F.explode(bands).alias("band"))
+    # a bucket of one text, or of one project, has nothing to compare
+    n = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("lo").alias("a"), F.max("hi").alias("b")).filter("n > 1 AND a <> b")
+    many = rows.join(n.select("band", F.ceil(F.col("n") / bucket).cast("int").alias("parts")), "band")
+    many = many.join(texts.select("body", "sig"), "body").withColumn("part", F.pmod(F.xxhash64("body"), F.col("parts")).cast("int"))
+    schema = "band bigint, parts int, body bigint, lo string, hi string, sig array<bigint>, leader bigint"
 
     def leaders(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = np.stack(pdf["sig"].to_numpy()) if len(pdf) else np.empty((0, BANDS * ROWS))
-        order = np.argsort(pdf["body"].to_numpy(), kind="stable")
-        lead: list[int] = []
-        of = np.zeros(len(pdf), dtype=np.int64)
-        for i in order:
-            if lead:
-                agree = (s[lead] == s[i]).mean(axis=1)
-                j = int(agree.argmax())
-                if agree[j] >= NEAR:
-                    of[i] = lead[j]
-                    continue
-            lead.append(i)
-            of[i] = i
-        lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
-        g = pd.DataFrame({"of": of, "lo": lo, "hi": hi, "body": pdf["body"].to_numpy()})
-        g["first"], g["last"] = g.groupby("of")["lo"].transform("min"), g.groupby("of")["hi"].transform("max")
-        return g.loc[g["first"] != g["last"], ["body"]]
-
-    # a bucket of one text in one project has nothing to compare
-    n = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    many = rows.join(n.select("band"), "band", "left_semi")
-    hit = many.groupBy("band").applyInPandas(leaders, "body bigint")
+        s = np.stack(pdf["sig"].to_numpy())
+        of = _lead(s, np.argsort(pdf["body"].to_numpy(), kind="stable"))
+        body = pdf["body"].to_numpy()
+        return pdf.assign(leader=body[of])[["band", "parts", "body", "lo", "hi", "sig", "leader"]]
+
+    led = cut(many.groupBy("band", "part").applyInPandas(leaders, schema))
+    # leaders of the parts of one bucket
+    top = led.filter("parts > 1 AND body = leader").groupBy("band").applyInPandas(leaders, schema).select("band", F.col("body").alias("leader"), F.col("leader").alias("first"))
+    of = led.join(top, ["band", "leader"], "left").select("band", "body", "lo", "hi", F.coalesce("first", "leader").alias("leader"))
+    spread = of.groupBy("band", "leader").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).filter("a <> b").select("band", "leader")
+    hit = of.join(spread, ["band", "leader"], "left_semi").select("body")
     return hit.union(texts.filter("lo <> hi").select("body")).distinct()
 
 
@@ -265,7 +284,7 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """
     spark = files.sparkSession
     rows = once(files.select("file_id", "project_id", "file_path", "content").filter("file_id IS NOT NULL"), "file_id")
-    schema = "file_id bigint, project string, stem string, package string, body bigint, sig array<bigint>, x array<double>, label boolean, own boolean, empty boolean"
+    schema = "file_id bigint, project string, stem string, package string, body bigint, sig array<bigint>, x array<double>, label boolean, empty boolean"
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -279,7 +298,7 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
                 sig = signature(text)
                 body = zlib.crc32(text.encode("utf-8", "replace")) if sig is None else hash(tuple(sig)) & (2**62 - 1)
                 empty = not text.strip("﻿ \t\n\f")
-                out.append((fid, pid, stem, pack[1].lower() if pack else None, body, sig, features(path, text), False if empty else notice(pid, text), own_notice(pid, text), empty))
+                out.append((fid, pid, stem, pack[1].lower() if pack else None, body, sig, features(path, text), not empty and (notice(pid, text) or blob(text)), empty))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     got = cut(rows.mapInPandas(read, schema))
@@ -288,7 +307,7 @@ def file_scores(files: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     full = got.join(near, "body", "left").join(packs, "stem", "left")
     # one library, however many copies, is one example
     example = F.coalesce("package", F.when(F.col("named").isNotNull(), F.col("stem")), F.concat(F.lit("#"), F.col("file_id").cast("string")))
-    full = full.select("file_id", (F.col("label") | (F.col("near").isNotNull() & ~F.col("own"))).alias("label"), "empty", example.alias("example"), F.concat(F.slice("x", 1, len(FEATURES) - 2), F.array(F.coalesce("named", F.lit(0.0)), F.coalesce("near", F.lit(0.0)))).alias("x"))
+    full = full.select("file_id", "label", "empty", example.alias("example"), F.concat(F.slice("x", 1, len(FEATURES) - 2), F.array(F.coalesce("named", F.lit(0.0)), F.coalesce("near", F.lit(0.0)))).alias("x"))
     full = cut(full)
     each = full.filter("NOT empty").groupBy("example").agg(F.max("label").alias("label"), F.min(F.struct(F.xxhash64("file_id").alias("h"), "file_id", "x")).alias("s"))
     sample = each.orderBy("s.h", "s.file_id").limit(sample_rows).select(F.col("s.x").alias("x"), "label", "example").toPandas()

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from strandline.llm.handwritten import FEATURES, Forest, features, file_scores, machine_files, notice
+from strandline.llm.handwritten import FEATURES, Forest, _near_copies, blob, features, file_scores, machine_files, notice, signature
 
 
 def test_forest_learns():
@@ -71,3 +71,28 @@ def test_false_label_is_outvoted(spark):
     got = {r.file_id: r.score for r in file_scores(spark.createDataFrame(rows, "file_id long, project_id string, file_path string, content string")).collect()}
     assert notice("p1", rows[-1][3]) and got[2000] < 0.5
     assert sum(got[1000 + i] >= 0.5 for i in range(40)) >= 38
+
+
+def test_header_is_hidden():
+    body = "function read(x) {\n    return load(x, 1);\n}\n" * 9
+    assert features("a.js", body) == features("a.js", "// Code generated by x. DO NOT EDIT.\n" + body) == features("a.js", "/*! x 1.0 */\n" + body)
+    long = "x = [" + ", ".join(f"a{i}" for i in range(200)) + "]\n"
+    assert features("a.py", long + long) != features("a.py", long + long[:210] + "b0]\n")  # whole lines count
+    assert blob("DATA = [" + "0x1f, " * 90 + "]") and not blob(body)
+
+
+def test_near_copies_of_a_hot_bucket(spark):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(300)]
+
+    def copy():
+        w = list(base)
+        w[rnd.randrange(300)] = f"z{rnd.randrange(10**6)}"
+        return " ".join(w)
+
+    rows = [(i, "p1" if i == 77 else "p0", copy()) for i in range(150)]
+    rows += [(1000 + i, f"q{i % 2}", " ".join(f"v{rnd.randrange(5000)}" for _ in range(300))) for i in range(60)]
+    sig = spark.createDataFrame([(i, p, signature(t)) for i, p, t in rows], "body long, project string, sig array<long>")
+    want = {r.body for r in _near_copies(sig).collect()}
+    assert want == set(range(150)) == {r.body for r in _near_copies(sig, bucket=16).collect()}
+    assert _near_copies(sig.limit(0)).collect() == []
