@@ -5,14 +5,15 @@ a string is never seen as code. Every function or method declaration gets a
 qualified name (its classes or receiver), a normalised signature and the
 comment that ends on the line directly above it (annotations, decorators or
 attributes may stand between) or its Python docstring. These symbol tables are
-joined per project: a definition without documentation takes that of a
+joined per project: a declaration takes its own documentation, else that of a
 documented declaration without body (overload, abstract or interface method) of
 the same qualified name, by equal signature, or by the name alone if it is the
 only one. Trivial documentation is filtered last.
 
-Scale: files are spread by key; the join is on (project, qualified name) and
-its right side holds documented declarations without body, one per signature.
-Files that do not parse are left out; only files that hold a case are parsed.
+Scale: files are spread by key and parsed once; the join is on a symbol key, and
+its right side holds one row per key, so a name that a whole project uses is a
+skewed left side only, which AQE splits. Files that do not parse are left out;
+only files that hold a declaration are parsed.
 """
 
 from __future__ import annotations
@@ -23,9 +24,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..session import once
+from ..session import cut, once
 from .syntax import path_language
 
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
@@ -196,6 +196,16 @@ def declarations(src: str, language: str) -> list[dict]:
             if c in (";", "{", "}") and (not st or cls[st[-1]] == "{" or c == "{"):
                 start = i + 1
                 continue
+            if language == "go" and c == "interface" and i + 1 < n and cls[i + 1] == "{":
+                o = i - 1
+                while o > 0 and cls[o] not in ("type", ";", "{", "}", "("):
+                    o -= 1
+                name = [word(o + 1)] if (cls[o] in ("type", ";") or (cls[o] == "(" and cls[o - 1] == "type")) and cls[o + 1] == "ID" and o + 1 < i else []
+                k = i + 2
+                while k < match[i + 1]:
+                    if cls[k] == "ID" and cls[k + 1] == "(" and cls[k - 1] in ("{", ";"):
+                        put(k, k, [], name, k + 1, None)
+                    k = match[k] + 1 if cls[k] in "([{" else k + 1
             if language == "rust" and c in ("impl", "trait", "mod") and i + 1 < n:
                 j = i + 1
                 while j < n and cls[j] not in ("{", ";"):
@@ -274,7 +284,49 @@ _JAVA_MOD = {"public", "protected", "private", "static", "abstract", "final", "n
 
 
 def _java(cls, match, n, put, word) -> None:
-    types: list[tuple[int, int, str]] = []  # (open, close, name) of type bodies
+    def bodies(lo: int, hi: int, owner: list[str]) -> None:
+        """Local, anonymous and constant-specific classes in code."""
+        i = lo
+        while i < hi:
+            b = None
+            if cls[i] in ("class", "interface", "enum") and cls[i - 1] != "." and cls[i + 1] == "ID":
+                b = i + 1
+                while b < hi and cls[b] not in ("{", ";"):
+                    b = match[b] + 1 if cls[b] in "([" else b + 1
+                name = word(i + 1)
+            elif cls[i] == "record" and i + 2 < hi and cls[i + 1] == "ID" and cls[i + 2] in ("(", "<") and cls[i - 1] in (";", "{", "}", "final"):
+                b = i + 2
+                while b < hi and cls[b] not in ("{", ";"):
+                    b = match[b] + 1 if cls[b] in "([" else b + 1
+                name = word(i + 1)
+            elif cls[i] == "new":
+                b = i + 1
+                while b < hi and cls[b] not in ("(", "[", "{", ";", ")", "}", ","):
+                    b += 1
+                b = match[b] + 1 if b < hi and cls[b] == "(" else hi
+                name = ""
+                bodies(i + 1, min(b, hi), owner)
+            if b is not None and b < hi and cls[b] == "{":
+                start = b + 1
+                if cls[i] == "enum":
+                    start = constants(b, [*owner, name])
+                members(start, match[b], [*owner, name] if name else owner)
+                i = match[b] + 1
+            elif cls[i] == "new" and b is not None:
+                i = max(i + 1, min(b, hi))
+            else:
+                i += 1
+
+    def constants(b: int, owner: list[str]) -> int:
+        """Bodies of the constants of an enum; where its members begin."""
+        k = b + 1
+        while k < match[b] and cls[k] != ";":
+            if cls[k] == "{":
+                members(k + 1, match[k], owner)
+            elif cls[k] == "(":
+                bodies(k + 1, match[k], owner)
+            k = match[k] + 1 if cls[k] in "([{" else k + 1
+        return k
 
     def members(lo: int, hi: int, owner: list[str]) -> None:
         i = lo
@@ -297,10 +349,7 @@ def _java(cls, match, n, put, word) -> None:
                         b += 1
                     if b >= hi:
                         return
-                    inner = b + 1
-                    if cls[k] == "enum":
-                        while inner < match[b] and cls[inner] != ";":
-                            inner = match[inner] + 1 if cls[inner] in "([{" else inner + 1
+                    inner = constants(b, [*owner, word(k + 1)]) if cls[k] == "enum" else b + 1
                     members(inner, match[b], [*owner, word(k + 1)])
                     i = match[b] + 1
                     break
@@ -311,14 +360,19 @@ def _java(cls, match, n, put, word) -> None:
                         b = match[b] + 1 if cls[b] in "([" else b + 1
                     if cls[name] in ("ID", "record", "open", "with", "to", "module", "var", "yield", "when", "exports", "opens", "uses", "provides", "requires", "permits", "transitive", "sealed", "non"):
                         put(name, first, marks, owner, k, b if b < hi and cls[b] == "{" else None)
+                    if b < hi and cls[b] == "{":
+                        bodies(b + 1, match[b], owner)
                     i = (match[b] if b < hi and cls[b] == "{" else b) + 1
                     break
                 if cls[k] == "{":
+                    bodies(k + 1, match[k], owner)
                     i = match[k] + 1
                     break
                 if cls[k] in ("=", ";"):
+                    at = k
                     while k < hi and cls[k] != ";":
                         k = match[k] + 1 if cls[k] in "([{" else k + 1
+                    bodies(at, k, owner)
                     i = k + 1
                     break
                 k += 1
@@ -326,7 +380,6 @@ def _java(cls, match, n, put, word) -> None:
                 return
 
     members(0, n, [])
-    del types
 
 
 _JS_MOD = {"static", "async", "get", "set", "accessor", "public", "private", "protected", "readonly", "abstract", "override", "declare", "*"}
@@ -488,6 +541,18 @@ def _script(cls, match, n, put, word, toks) -> None:
             v = function_value(e + 1) if e < n and cls[e] == "=" else None
             if v:
                 put(i + 1, start, [], owners(), v[0], v[1])
+        elif i == start and i + 3 < n and cls[i + 1] == "." and (is_name(i) or c == "this") and kind != "class" and c not in _JS_STOP:
+            # a function given to a property: exports.read = ..., A.prototype.read = ...
+            k, path = i, [word(i)]
+            while k + 2 < n and cls[k + 1] == "." and is_name(k + 2):
+                k += 2
+                path.append(word(k))
+            v = function_value(k + 2) if k + 1 < n and cls[k + 1] == "=" else None
+            if v:
+                owner = [p for p in path[:-1] if p not in ("prototype", "module", "exports", "this")]
+                put(k, start, [], [*owners(), *owner], v[0], v[1])
+                i = v[0]
+                continue
         elif top is not None and cls[top] == "{" and i == start and is_name(i) and c not in _JS_STOP:
             # shorthand method or function property of an object
             k = i
@@ -509,8 +574,7 @@ def _script(cls, match, n, put, word, toks) -> None:
 
 
 def described(src: str, language: str) -> list[dict]:
-    """Declarations with documentation, or none where the source does not
-    parse."""
+    """Declarations, or none where the source does not parse."""
     from .grammars import parses
     from .lexers import LexError
 
@@ -519,52 +583,84 @@ def described(src: str, language: str) -> list[dict]:
         return []
     try:
         got = declarations(src, language)
-    except (LexError, KeyError, IndexError, RecursionError):
+    except LexError:
+        return []
+    except (KeyError, IndexError, RecursionError):
+        # brackets that do not match; of a text that parses it is our fault
+        if parses(src, language):
+            raise
         return []
     return got if got and parses(src, language) else []
 
 
 _SCHEMA = (
-    "file_id bigint, project_id string, name string, qualified string, signature string, start_line int, description string, has_body boolean, content string"
+    "file_id bigint, project_id string, name string, qualified string, signature string, start_line int, description string, has_body boolean, content string, "
+    "n int, trivial boolean, error string"
 )
 
 
-def symbol_table(files: DataFrame) -> DataFrame:
-    """One row per function or method declaration of the files that parse."""
+def symbol_table(files: DataFrame, content: bool = True) -> DataFrame:
+    """One row per function or method declaration of the files that parse; n
+    numbers them in a file. A file that parses but can't be scanned gives one row
+    with ``error`` and no name, so that none is lost without a word. ``content``
+    can be left out (null)."""
     rows = once(files.select("file_id", "project_id", "file_path", "content").filter("file_id IS NOT NULL AND content IS NOT NULL"), "file_id")
     rows = rows.withColumn("language", path_language(F.col("file_path"))).filter("language IS NOT NULL")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cols = [c.split()[0] for c in _SCHEMA.split(", ")]
         for f in frames:
             out = []
             for fid, pid, text, lang in zip(f["file_id"], f["project_id"], f["content"], f["language"]):
-                out += [{"file_id": fid, "project_id": pid, **d} for d in described(text, lang)]
-            cols = [c.split()[0] for c in _SCHEMA.split(", ")]
-            yield pd.DataFrame(out, columns=cols)
+                try:
+                    got = described(text, lang)
+                except (KeyError, IndexError, RecursionError) as e:
+                    out.append({"file_id": fid, "project_id": pid, "n": -1, "error": repr(e)[:200]})
+                    continue
+                for n, d in enumerate(got):
+                    note = d["description"]
+                    out.append({**d, "file_id": fid, "project_id": pid, "n": n, "content": d["content"] if content else None, "trivial": note is None or trivial(note, d["name"])})
+            yield pd.DataFrame([[d.get(c) for c in cols] for d in out], columns=cols, dtype=object)
 
     return rows.drop("file_path").mapInPandas(read, _SCHEMA)
 
 
-def functions_with_docs(files: DataFrame) -> DataFrame:
+def unread_files(files: DataFrame) -> DataFrame:
+    """(file_id, error) of the files that parse but could not be scanned."""
+    return symbol_table(files, content=False).filter("error IS NOT NULL").select("file_id", "error")
+
+
+def functions_with_docs(files: DataFrame, content: bool = True) -> DataFrame:
     """file_id, project_id, name, qualified, signature, start_line, content,
     description, origin ("own", or "declaration" where the documentation was
     taken from a separate declaration).
 
+    Every declaration is joined with the documentation that is known under its
+    symbol: the comment of the declaration itself, that of a declaration without
+    body of equal signature, or of the only such one of the name. The best counts
+    (a telling one first, then the nearest), and trivial ones are filtered last.
+
     ``files`` has file_id, project_id, file_path and content. Null ids, null or
     empty texts and other languages give no rows; repeated rows count once;
     other columns are ignored.
     """
-    s = symbol_table(files).withColumn("plain", F.udf(lambda d, n: d is None or trivial(d, n), "boolean")("description", "name"))
-    own = s.filter("NOT plain").withColumn("origin", F.lit("own"))
-    # documented declarations without a body, one per signature
-    w = Window.partitionBy("project_id", "qualified", "signature").orderBy("file_id", "start_line")
-    decl = s.filter("NOT plain AND NOT has_body").withColumn("r", F.row_number().over(w)).filter("r = 1")
-    per = decl.groupBy("project_id", "qualified").agg(F.count(F.lit(1)).alias("n"), F.first("description").alias("only"))
-    need = s.filter("plain AND has_body").drop("description")
-    by_sig = decl.select(F.col("project_id").alias("p"), F.col("qualified").alias("q"), F.col("signature").alias("g"), F.col("description").alias("d1"))
-    j = need.join(by_sig, F.col("project_id").eqNullSafe(F.col("p")) & (F.col("qualified") == F.col("q")) & (F.col("signature") == F.col("g")), "left").drop("p", "q", "g")
-    per = per.filter("n = 1").select(F.col("project_id").alias("p"), F.col("qualified").alias("q"), F.col("only").alias("d2"))
-    j = j.join(per, F.col("project_id").eqNullSafe(F.col("p")) & (F.col("qualified") == F.col("q")), "left").drop("p", "q")
-    taken = j.withColumn("description", F.coalesce("d1", "d2")).filter("description IS NOT NULL").withColumn("origin", F.lit("declaration"))
-    cols = ["file_id", "project_id", "name", "qualified", "signature", "start_line", "content", "description", "origin"]
-    return own.select(*cols).unionByName(taken.select(*cols))
+    s = cut(symbol_table(files, content).filter("error IS NULL"))
+    project = F.coalesce("project_id", F.lit("\0"))
+    own = F.concat_ws("\0", F.lit("o"), "file_id", "n")
+    by_sig, by_name = (F.concat_ws("\0", F.lit(k), project, "qualified", *c) for k, c in (("s", ["signature"]), ("q", [])))
+    noted = s.filter("description IS NOT NULL").select("project_id", "qualified", "signature", "file_id", "n", "description", "trivial", "has_body")
+    # of separate declarations one per signature, and the one of the name
+    apart = noted.filter("NOT has_body").groupBy("project_id", "qualified", "signature").agg(F.min(F.struct("trivial", "file_id", "n", "description")).alias("d")).select("project_id", "qualified", "signature", "d.*")
+    alone = apart.filter("NOT trivial").groupBy("project_id", "qualified").agg(F.count(F.lit(1)).alias("c"), F.first("description").alias("description")).filter("c = 1")
+    docs = (
+        noted.select(own.alias("key"), "description", "trivial")
+        .union(apart.select(by_sig, "description", "trivial"))
+        .union(alone.select(by_name, "description", F.lit(False)))
+    )
+    keys = F.when(F.col("has_body"), F.array(own, by_sig, by_name)).otherwise(F.array(own))
+    known = s.select("file_id", "n", F.posexplode(keys).alias("rank", "key")).join(docs, "key")
+    best = known.groupBy("file_id", "n").agg(F.min(F.struct("trivial", "rank", "description")).alias("d")).select("file_id", "n", "d.*")
+    full = s.drop("description", "trivial").join(best, ["file_id", "n"])
+    return full.filter("NOT trivial").select(
+        "file_id", "project_id", "name", "qualified", "signature", "start_line", "content", "description", F.when(F.col("rank") == 0, "own").otherwise("declaration").alias("origin")
+    )

@@ -1,8 +1,9 @@
 """Grammars of the supported languages, for the generalised LL recogniser.
 
-They are written for recognition: operators are not ranked, since their rank
-does not decide whether a text can be parsed, and an expression is a chain of
-operands and operators.
+They are written for recognition: operators are ranked only where the rank
+decides whether a text can be parsed (comparisons of Rust don't chain); else an
+expression is a chain of operands and operators. Errors that need scopes or
+types (a name declared twice, ``with`` in strict code) are not looked for.
 """
 
 from __future__ import annotations
@@ -58,7 +59,9 @@ array = '[' ','* (_arg (','+ _arg)* ','*)? ']'
 object = '{' (prop (',' prop)* ','?)? '}'
 prop = '...' assign | ID ('=' assign)? | _pname ':' assign | ('async' | '*' | 'async' '*')? _pname TPAR params TRET block | ('get' | 'set') _pname params TRET block
 _pname = NAME | 'STR' | 'NUM' | '[' assign ']' | 'PRIV'
-arrow = 'async'? (ID | TPAR params TRET) '=>' (block | assign)
+arrow = 'async'? (ID | TPAR params TRET) '=>' (block | abody)
+abody = _aoperand (_op operand)* | 'yield' '*'? assign | 'yield'
+_aoperand = _pre* (_eprimary | fnexpr | classexpr) _post* | _pre+ primary _post* | arrow
 _deco = '@' primary _post*
 classdecl = _deco* CMOD 'class' ID TPAR _heritage _cbody
 classexpr = _deco* CMOD 'class' ID? TPAR _heritage _cbody
@@ -80,7 +83,7 @@ _JS_FILL = {"TANN": "", "TPAR": "", "TRET": "", "OPT": "", "DEF": "", "PMOD": ""
 _TS_FILL = {
     "TANN": "(':' type)?", "TPAR": "_tpar?", "TRET": "(':' type)?", "OPT": "'?'?", "DEF": "'!'?", "PMOD": "('public' | 'private' | 'protected' | 'readonly' | 'override')*",
     "FBODY": "(block | _eos)", "MBODY": "(block | _eos)", "CMOD": "'abstract'?", "IMPL": "('implements' type (',' type)*)?",
-    "TPOST": "| '!' | 'as' type | 'satisfies' type | _targs args | _targs template | _targs", "TPRIM": "| '<' type '>' primary",
+    "TPOST": "| '!' | 'as' (type | 'const') | 'satisfies' type | _targs args | _targs template | _targs", "TPRIM": "| '<' (type | 'const') '>' primary",
     "MMOD": "| 'public' | 'private' | 'protected' | 'readonly' | 'abstract' | 'override' | 'declare'", "TYPEKW": "'type'?",
     "TSSTMT": "| _tsdecl", "TMEM": "| _mmod* _index _eos | _mmod* _index ',' ", "TIMPORT": "| 'import' 'type'? ID '=' 'require' '(' 'STR' ')' _eos | 'import' ID '=' _qname _eos",
     "TEXPDEF": "| 'interface' ID _tpar? ('extends' type (',' type)*)? tobject | 'abstract' classdecl", "TEXPORT": "| _tsdecl) | 'export' '=' expr _eos | 'export' 'as' 'namespace' ID _eos | 'export' ('import' ID '=' _qname _eos",
@@ -243,23 +246,38 @@ type = tpath | '(' (type (',' type)* ','?)? ')' | '!' | '&' 'LIFE'? 'mut'? type
 qpath = '<' type ('as' tpath)? '>' ('::' _tseg)+
 block = '{' _attr* stmt* expr? '}'
 stmt = ';' | item | _attr* 'let' pat (':' type)? ('=' expr ('else' block)?)? ';' | expr ';' | _attr* _bexpr | _path '!' '{' tts? '}'
-_bexpr = ('LIFE' ':')? ('loop' block | 'while' expr block | 'for' pat 'in' expr block | block) | if | match | ('unsafe' | 'const' | 'async' 'move'?) block
-if = 'if' expr block ('else' (if | block))?
-match = 'match' expr '{' _attr* _arms? '}'
+_bexpr = ('LIFE' ':')? ('loop' block | 'while' cond block | 'for' pat 'in' cexpr block | block) | if | match | ('unsafe' | 'const' | 'async' 'move'?) block
+if = 'if' cond block ('else' (if | block))?
+match = 'match' cexpr '{' _attr* _arms? '}'
 _arms = (_armh (_bexpr ','? | expr ','))* (_armh expr)?
-_armh = _attr* pat ('if' expr)? '=>'
+_armh = _attr* pat ('if' guard)? '=>'
 pat = '|'? pat1 ('|' pat1)*
 pat1 = _patp (('..=' | '..' | '...') _patp?)? | ('..=' | '..') _patp?
 _patp = '-'? 'NUM' | 'STR' | 'true' | 'false' | '_' | ('ref'? 'mut'? ID) ('@' pat1)? | '&' 'mut'? pat1 | '&&' 'mut'? pat1 | '(' (pat (',' pat)* ','?)? ')' | '[' (pat (',' pat)* ','?)? ']' | _epath ('(' (pat (',' pat)* ','?)? ')' | '{' (_pfield (',' _pfield)* ','?)? '}')? | _path '!' ('(' tts? ')' | '[' tts? ']') | 'const' block
 _pfield = _attr* ('..' | 'ref'? 'mut'? ID | (ID | 'NUM') ':' pat)
-expr = _eoperand (_op _eoperand)* (('..' | '..=') (_eoperand (_op _eoperand)*)?)? | ('..' | '..=') (_eoperand (_op _eoperand)*)?
-_op = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>' '>' | '&&' | '|' '|' | '==' | '!=' | '<' | '>' | '<=' | '>=' | '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>=' | '..' | '..='
-_eoperand = operand
-operand = _attr* ('-' | '!' | '*' | '&' 'mut'? | '&&' 'mut'? | '&' 'raw' ('const' | 'mut'))* _prim _epost* | 'return' expr? | 'break' 'LIFE'? expr? | 'continue' 'LIFE'? | closure | 'let' pat '=' operand
+expr = _logic ((_asg | '..' | '..=') _logic)* ('..' | '..=')? | ('..' | '..=') (_logic ((_asg | '..' | '..=') _logic)*)?
+_logic = _cmp (('&&' | '|' '|') _cmp)*
+_cmp = _arith (_cop _arith)?
+_arith = operand (_aop operand)*
+_cop = '==' | '!=' | '<' | '>' | '<=' | '>='
+_aop = '+' | '-' | '*' | '/' | '%' | '&' | '|' | '^' | '<<' | '>' '>'
+_asg = '=' | '+=' | '-=' | '*=' | '/=' | '%=' | '&=' | '|=' | '^=' | '<<=' | '>' '>='
+guard = _gitem (('&&' | '|' '|' | _asg | '..' | '..=') _gitem)*
+_gitem = _cmp | 'let' pat '=' _cmp
+cexpr = _clogic ((_asg | '..' | '..=') _clogic)* ('..' | '..=')? | ('..' | '..=') (_clogic)?
+_clogic = _ccmp (('&&' | '|' '|') _ccmp)*
+_ccmp = _carith (_cop _carith)?
+_carith = coperand (_aop coperand)*
+cond = _citem (('&&' | '|' '|' | _asg | '..' | '..=') _citem)* ('..' | '..=')?
+_citem = _ccmp | 'let' pat '=' _ccmp
+_pre = '-' | '!' | '*' | '&' 'mut'? | '&&' 'mut'? | '&' 'raw' ('const' | 'mut')
+operand = _attr* _pre* _prim _epost* | _pre* ('return' expr? | 'break' 'LIFE'? expr? | 'continue' 'LIFE'?) | _pre* closure
+coperand = _attr* _pre* _cprim _epost* | _pre* ('return' cexpr? | 'break' 'LIFE'? cexpr? | 'continue' 'LIFE'?) | _pre* closure
 closure = ('static' | 'async' | 'move' | 'const')* ('|' (_cparam (',' _cparam)* ','?)? '|') ('->' type block | expr)
 _cparam = _attr* pat1 (':' type)?
 _epost = '.' (ID ('::' gargs)? | 'NUM' | 'await') | '(' (expr (',' expr)* ','?)? ')' | '[' expr ']' | '?' | 'as' type
-_prim = 'NUM' | 'STR' | 'true' | 'false' | _epath | _epath '{' (_finit (',' _finit)* ','?)? (',' '..' expr?)? '}' | _epath '{' '..' expr? '}' | '(' (expr (',' expr)* ','?)? ')' | '[' (expr (',' expr)* ','? | expr ';' expr)? ']' | _bexpr | _path '!' ('(' tts? ')' | '[' tts? ']' | '{' tts? '}') | '_'
+_prim = _cprim | _epath '{' (_finit (',' _finit)* ','?)? (',' '..' expr?)? '}' | _epath '{' '..' expr? '}'
+_cprim = 'NUM' | 'STR' | 'true' | 'false' | _epath | '(' (expr (',' expr)* ','?)? ')' | '[' (expr (',' expr)* ','? | expr ';' expr)? ']' | _bexpr | _path '!' ('(' tts? ')' | '[' tts? ']' | '{' tts? '}') | '_'
 _finit = _attr* (ID | (ID | 'NUM') ':' expr)
 _epath = epath | qpath
 epath = '::'? _seg ('::' (_seg | gargs))*
@@ -272,11 +290,12 @@ file = stmt* EOF
 field = _star ('NEWLINE')? EOF
 stmt = _simple (';' _simple)* ';'? 'NEWLINE' | compound
 block = _simple (';' _simple)* ';'? 'NEWLINE' | 'NEWLINE' 'INDENT' stmt+ 'DEDENT'
-_simple = star | star ':' star ('=' _rhs)? | _targets _rhs | star _aug _rhs | 'pass' | 'break' | 'continue' | 'return' star? | 'raise' (expr ('from' expr)?)? | ('global' | 'nonlocal') ID (',' ID)* | 'del' _targ (',' _targ)* ','?
+_simple = star | single ':' expr ('=' _rhs)? | _targets _rhs | single _aug _rhs | 'pass' | 'break' | 'continue' | 'return' star? | 'raise' (expr ('from' expr)?)? | ('global' | 'nonlocal') ID (',' ID)* | 'del' _targ (',' _targ)* ','?
 | 'assert' expr (',' expr)? | 'import' _dotted ('as' ID)? (',' _dotted ('as' ID)?)* | 'from' ('.' | '...')* (_dotted | '.' | '...') 'import' ('*' | _names | '(' _names ','? ')') | 'type' ID _tpar? '=' expr
 _names = ID ('as' ID)? (',' ID ('as' ID)?)*
 _dotted = ID ('.' ID)*
 _targets = (_tlist '=')+
+single = ID | _atom _tail* _last | '(' single ')'
 _tlist = _targ (',' _targ)* ','?
 _targ = '*'? target
 target = ID | _atom _tail* _last | '(' _tlist? ')' | '[' _tlist? ']'
@@ -293,8 +312,11 @@ _deco = '@' named 'NEWLINE'
 _withs = expr ('as' _targ)? (',' expr ('as' _targ)?)*
 _tpar = '[' _tp (',' _tp)* ','? ']'
 _tp = ('*' | '**')? ID (':' expr)? ('=' '*'? expr)?
-_params = _param (',' _param)* ','?
-_param = ID (':' expr)? ('=' expr)? | '*' (ID (':' '*'? expr)?)? | '**' ID (':' expr)? | '/'
+_params = (_pos (',' _rest)? | _rest) ','?
+_np = ID (':' expr)?
+_dp = ID (':' expr)? '=' expr
+_pos = _np (',' _np)* (',' '/' (',' _np)*)? (',' _dp)* | _np (',' _np)* (',' _dp)+ ',' '/' (',' _dp)* | _dp (',' _dp)* (',' '/' (',' _dp)*)?
+_rest = ('*' ID (':' '*'? expr)? (',' (_np | _dp))* | '*' (',' (_np | _dp))+) (',' '**' ID (':' expr)?)? | '**' ID (':' expr)?
 _pats = '*'? pattern (',' '*'? pattern)* ','?
 pattern = _cpat ('|' _cpat)* ('as' ID)?
 _cpat = '-'? 'NUM' (('+' | '-') 'NUM')? | strings | 'None' | 'True' | 'False' | ID ('.' ID)* ('(' (_parg (',' _parg)* ','?)? ')')? | '(' _pats? ')' | '[' _pats? ']' | '{' (_pitem (',' _pitem)* ','?)? '}'
@@ -303,16 +325,20 @@ _pitem = '**' ID | ('-'? 'NUM' | strings | 'None' | 'True' | 'False' | ID ('.' I
 named = (ID ':=')? expr
 expr = _disj ('if' _disj 'else' expr)? | lambda
 lambda = 'lambda' _lparams? ':' expr
-_lparams = _lparam (',' _lparam)* ','?
-_lparam = ID ('=' expr)? | '*' ID? | '**' ID | '/'
+_lparams = (_lpos (',' _lrest)? | _lrest) ','?
+_ld = ID '=' expr
+_lpos = ID (',' ID)* (',' '/' (',' ID)*)? (',' _ld)* | ID (',' ID)* (',' _ld)+ ',' '/' (',' _ld)* | _ld (',' _ld)* (',' '/' (',' _ld)*)?
+_lrest = ('*' ID (',' (ID | _ld))* | '*' (',' (ID | _ld))+) (',' '**' ID)? | '**' ID
 _disj = operand (_op operand)*
 _op = 'and' | 'or' | '==' | '!=' | '<' | '>' | '<=' | '>=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | '|' | '^' | '&' | '<<' | '>>' | '+' | '-' | '*' | '/' | '//' | '%' | '@' | '**'
 operand = ('not' | '-' | '+' | '~~' | 'await')* _atom _tail*
 _tail = '.' ID | '[' _subs ']' | args
 _subs = _sub (',' _sub)* ','?
 _sub = '*'? named | expr? ':' expr? (':' expr?)?
-args = '(' (_arg (',' _arg)* ','? | named comp)? ')'
-_arg = named | ID '=' expr | '*' expr | '**' expr
+args = '(' (_alist ','? | named comp)? ')'
+_pa = named | '*' expr
+_kw = ID '=' expr
+_alist = _pa (',' _pa)* (',' _kw (',' (_kw | '*' expr))*)? (',' '**' expr (',' (_kw | '**' expr))*)? | _kw (',' (_kw | '*' expr))* (',' '**' expr (',' (_kw | '**' expr))*)? | '**' expr (',' (_kw | '**' expr))*
 comp = ('async'? 'for' _tlist 'in' _disj ('if' (_disj | (ID ':=' _disj) | lambda))*)+
 _atom = ID | 'NUM' | strings | 'None' | 'True' | 'False' | '...' | '(' (yield | ('*'? named) (',' '*'? named)* ','? | named comp)? ')' | '[' (('*'? named) (',' '*'? named)* ','? | named comp)? ']' | '{' ((_kv (',' _kv)* ','?) | expr ':' expr comp | ('*'? named) (',' '*'? named)* ','? | named comp)? '}'
 _kv = expr ':' expr | '**' operand
@@ -357,6 +383,19 @@ def lex(src: str, language: str, comments: list | None = None) -> list:
     return lex_py(src, PY_WORDS, comments, soft=PY_SOFT)
 
 
+_ASSIGN = frozenset("= += -= *= /= %= **= <<= &= |= ^= &&= ||= ??=".split())
+_NO_TARGET = frozenset("NUM STR REGEX TPLFULL TPLTAIL null true false this ++ --".split())
+
+
+def _bad_target(toks: list) -> bool:
+    """Whether something that can't be assigned to stands before an assignment
+    sign. Names of class fields may be literals, so files with classes are left
+    to the grammar."""
+    if any(t[0] == "class" for t in toks):
+        return False
+    return any(b[0] in _ASSIGN and a[0] in _NO_TARGET for a, b in zip(toks, toks[1:]))
+
+
 def parses(src: str, language: str) -> bool:
     """Whether some dialect of the language accepts the source."""
     src = src.removeprefix("﻿")
@@ -373,5 +412,7 @@ def parses(src: str, language: str) -> bool:
         toks = lex(src, language)
     except LexError:
         return False
+    if language == "javascript" and _bad_target(toks):
+        return False
     g = grammar(language)
     return g.accepts(g.encode([(t[0], t[1]) for t in toks]))

@@ -13,7 +13,7 @@ R = Registry()
 
 @R.add("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return functions_with_docs(table(spark, d, "source_files")).filter("origin = 'own'").select("file_id", "name", "start_line").distinct()
+    return functions_with_docs(table(spark, d, "source_files"), content=False).filter("origin = 'own'").select("file_id", "name", "start_line").distinct()
 
 
 @R.add("p1_pairs")
