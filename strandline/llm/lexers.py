@@ -271,6 +271,12 @@ def _py_string(src: str, m: re.Match, fields: list[tuple[int, int]]) -> int:
                 want = {"x": r"[\da-fA-F]{2}", "u": r"[\da-fA-F]{4}", "U": r"00(?:0[\da-fA-F]|10)[\da-fA-F]{4}", "N": r"\{[^}]+\}"}.get(esc)
                 if want and not re.match(want, src[at + 2 : at + 60]):
                     raise LexError("escape")
+            if f and src[at + 1 : at + 2] in ("{", "}"):
+                at += 1  # a brace is no part of an escape
+                continue
+            if f and not raw and src.startswith("N{", at + 1) and "}" in src[at:]:
+                at = src.index("}", at) + 1
+                continue
             at += 3 if src[at + 1 : at + 3] == "\r\n" else 2
         elif c in "\n\r" and not long:
             raise LexError("unended string")

@@ -6,7 +6,7 @@ import ast
 
 import pytest
 
-from strandline.llm.docs import doc_words, functions_with_docs, trivial
+from strandline.llm.docs import described, doc_words, functions_with_docs, trivial, unread_files
 from strandline.llm.gll import Grammar
 from strandline.llm.grammars import parses
 from strandline.llm.syntax import invalid_rates, parsed_files, valid
@@ -160,3 +160,46 @@ def test_docs(spark):
 def test_trivial():
     assert trivial("Order weighted queue opt.", "order_weighted_queue_opt") and trivial("TODO: write documentation for this function", "f") and trivial("@param a the long list of words here", "f")
     assert not trivial("Returns every part that changed last.", "f") and doc_words("the getPart parts now", "getPart") == 2
+
+
+VALID = [
+    ("typescript", "const a = [1] as const; let b = <const>['x']; const o = { a: 1 } as const satisfies X;"),
+    ("typescript", "enum E { A = 1, 'b' = 2 }\nlet x: null = null;"),
+    ("rust", "fn f() { if let Some(x) = y && z > 1 { } for i in 0.. {} if (S { x: 1 }) == s {} let r = a < b && c < d || e == f; match x { A { b } if b == S { x: 1 } => 1, _ if let Some(q) = w => 2, n => 3 } }"),
+    ("python", "def f(a, b=1, /, c=2, *d, e, f=3, **g): pass\ndef k(*, a): pass\nf(1, *a, 2, b=1, *c, d=2, **e, g=1)\nx.y: int\n(a) += 1\nf(x for x in y)\nlambda x, y=1, *z, w, **k: 0\n"),
+    ("python", "x = rf'\\{a}b{{}}'\ny = f'\\N{DIGIT ONE}{a}'\n"),
+    ("javascript", "x => ({});\nconst h = () => class {};\n[x, y] = [y, x]; a.b = c[1] = 2;"),
+]
+INVALID = [
+    ("rust", "fn main() { let x = 5 }"), ("rust", "fn f() { a < b < c; }"), ("rust", "fn f() { if S { x: 1 } == s {} }"), ("python", "def f(a=1, b): pass"), ("python", "f(a=1, 2)"),
+    ("python", "(a, b) += 1"), ("python", "f(**k, 1)"), ("python", "def f(*): pass"), ("python", "a, b: int = 1"), ("javascript", "1 = 2;"), ("javascript", "x => {} ()"), ("javascript", "null = a"),
+]
+
+
+def test_sharp_edges_of_the_grammars():
+    assert [x for x in VALID if not parses(x[1], x[0])] == [] and [x for x in INVALID if parses(x[1], x[0])] == []
+
+
+def test_more_declarations():
+    got = lambda src, lang: [(d["qualified"], d["start_line"], d["description"], d["has_body"]) for d in described(src, lang)]
+    assert got("package a\n\ntype I interface {\n\t// Read reads it\n\tRead(x int) error\n\tio.Closer\n}\n", "go") == [("I.Read", 5, "Read reads it", False)]
+    java = "class A {\n  void a() {\n    Runnable r = new Runnable() {\n      /** runs */\n      public void run() {}\n    };\n    class L {\n      /** local */\n      int l() { return 1; }\n    }\n  }\n  C c = new C() {\n    /** cmp */\n    public int cmp() { return 0; }\n  };\n  enum E { P {\n    /** p */\n    int v() { return 1; }\n  } }\n}\n"
+    assert got(java, "java") == [("A.a", 2, None, True), ("A.run", 5, "runs", True), ("A.L.l", 9, "local", True), ("A.cmp", 14, "cmp", True), ("A.E.v", 18, "p", True)]
+    js = "/** reads */\nA.prototype.read = function (x) { return x; };\n// writes\nmodule.exports.write = (x) => x;\nfunction C() {\n  /** inner */\n  this.m = function () {};\n}\n"
+    assert got(js, "javascript") == [("A.read", 2, "reads", True), ("write", 4, "writes", True), ("C", 5, None, True), ("m", 7, "inner", True)]
+
+
+def test_documentation_comes_through_the_join(spark):
+    doc = "/** Takes every waiting row out of the queue in order of age. */"
+    rows = [
+        (1, "p", "I.ts", f"interface Q {{\n  {doc}\n  take(n: number): Row[];\n  put(r: Row): void;\n}}\n"),
+        (2, "p", "Q.ts", "class Q {\n  take(n: number): Row[] { return []; }\n  put(r: Row): void {}\n}\n"),
+        (3, "q", "Q.ts", "class Q {\n  take(n: number): Row[] { return []; }\n}\n"),
+        (4, "p", "R.ts", f"class Q {{\n  {doc.replace('Takes', 'Here takes')}\n  take(n: number): Row[] {{ return []; }}\n  // todo\n  take2() {{}}\n}}\n"),
+        (5, None, "T.ts", "x"), (6, "p", "U.ts", "class {"),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "file_id long, project_id string, file_path string, content string, key string")
+    got = {(r.file_id, r.name, r.origin, r.description.split()[0]) for r in functions_with_docs(df).collect()}
+    assert got == {(1, "take", "own", "Takes"), (2, "take", "declaration", "Takes"), (4, "take", "own", "Here")}
+    assert "Join" in functions_with_docs(df, content=False).filter("origin = 'own'")._jdf.queryExecution().optimizedPlan().toString()
+    assert unread_files(df).collect() == [] == functions_with_docs(df.limit(0)).collect()
