@@ -37,7 +37,7 @@ def test_random_blocks(spark):
         sets.append((g, i, sorted(set(items)) or None))
     df = spark.createDataFrame(sets, "grp string, basket long, items array<string>").withColumn("n_ab", F.lit("clash"))
     df = df.select("grp", "basket", "items")
-    for kw in ({}, {"record_block": 30, "item_block": 6}):
+    for kw in ({}, {"entry_block": 60, "item_block": 6}):
         got = {(r.grp, r.item_a, r.item_b, r.n_ab) for r in pairs_together(df, 3, 1.5, **kw).collect()}
         assert got == brute(sets, 3, 1.5)
 
