@@ -67,7 +67,7 @@ TAUGHT = 4.0
 #: share given to n-grams that prose does not have, in a corpus of any size
 RARE = 3e-7
 #: slices of an array of counts, and arrays summed at once
-SLICES, FAN = 16, 64
+SLICES, FAN = 4, 64
 
 RESIDUE = {
     "template": """
@@ -528,25 +528,23 @@ def _counts(segs: DataFrame, models: Models | None) -> tuple[np.ndarray, np.ndar
             kinds = [np.zeros(len(h), dtype=np.int64) for h, _ in g.views] if m is None else [k.astype(np.int64) + 1 for k in m.judge(g, *SURE, words=np.inf)[2]]
             for v, (h, _) in enumerate(g.views):
                 acc[v] += np.bincount(kinds[v] * SIZE + h, minlength=_KINDS * SIZE).reshape(_KINDS, SIZE)
-        step = SIZE // SLICES
-        part = TaskContext.get().partitionId() % FAN  # type: ignore[union-attr]
-        rows = [(v, k, i, part, zlib.compress(acc[v, k, i * step : (i + 1) * step].tobytes(), 1)) for v in range(2) for k in range(_KINDS) for i in range(SLICES) if acc[v, k, i * step : (i + 1) * step].any()]
-        yield pd.DataFrame(rows, columns=["v", "k", "i", "part", "n"])
+        part = TaskContext.get().partitionId() // FAN  # type: ignore[union-attr]
+        cells = acc.reshape(2, _KINDS, SLICES, -1)
+        yield pd.DataFrame([(v, i, part, zlib.compress(cells[v, :, i].tobytes(), 1)) for v in range(2) for i in range(SLICES)], columns=["v", "i", "part", "n"])
 
-    schema = "v int, k int, i int, part int, n binary"
+    schema = "v int, i int, part int, n binary"
 
     def total(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros(SIZE // SLICES, dtype=np.int64)
+        acc = np.zeros(_KINDS * SIZE // SLICES, dtype=np.int64)
         for f in frames:
             for b in f["n"]:
                 acc += np.frombuffer(zlib.decompress(b), dtype=np.int64)
-        yield pd.DataFrame([(*key[:3], 0, zlib.compress(acc.tobytes(), 1))], columns=["v", "k", "i", "part", "n"])
+        yield pd.DataFrame([(*key[:2], 0, zlib.compress(acc.tobytes(), 1))], columns=["v", "i", "part", "n"])
 
-    key = ["v", "k", "i"]
-    sums = segs.mapInPandas(add, schema).groupBy(*key, "part").applyInPandas(total, schema).groupBy(*key).applyInPandas(total, schema)
+    sums = segs.mapInPandas(add, schema).groupBy("v", "i", "part").applyInPandas(total, schema).groupBy("v", "i").applyInPandas(total, schema)
     out = np.zeros((2, _KINDS, SLICES, SIZE // SLICES), dtype=np.int64)
-    for r in sums.collect():  # at most 2 x 5 x SLICES rows of fixed size
-        out[r.v, r.k, r.i] = np.frombuffer(zlib.decompress(r.n), dtype=np.int64)
+    for r in sums.collect():  # 2 x SLICES rows of fixed size
+        out[r.v, :, r.i] = np.frombuffer(zlib.decompress(r.n), dtype=np.int64).reshape(_KINDS, -1)
     out = out.reshape(2, _KINDS, SIZE)
     return out[:, 0], out[:, 1:]
 
