@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -184,3 +185,22 @@ def test_walk(spark, tmp_path):
     d = I.markdown_sections(spark.createDataFrame([(1, "# A\ntext\n## B\n### C\n## D\n")], "doc long, text string")).orderBy("line_no").collect()
     assert [(r.title, r.parent_line) for r in d] == [("A", -1), ("B", 0), ("C", 2), ("D", 0)]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_components(spark):
+    rnd = random.Random(4)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2060)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for x in parent}
+    got = {r.node: r.root for r in G.components_by(spark.createDataFrame(edges, "a long, b long"), [], "a", "b").collect()}
+    assert got == {k: v for k, v in want.items() if k in got} and set(want) - set(got) <= {a for a, b in edges if a == b}
