@@ -2,24 +2,27 @@
 
 1. Every record is read into evidence: kind (person, organisation, bot), given
    name in its formal form, initial, surname spellings of the name and of the
-   mailbox, and the mailbox where it is a personal one.
+   mailbox, and the mailbox where it is a personal one. Which words are given
+   names is learned from the table: words that stand first before more different
+   second words than the other way round. Short forms are common knowledge.
 2. Evidence with a full name is grouped by (surname, given name); groups are
    linked by alias spellings of one record and by typing slips (one edit, found
-   through shared single-character deletions). Linked groups merge and unite
-   their spellings and mailboxes.
-3. Evidence with an initial or a login only joins a profile if the profile is
-   the only one that fits; a shared personal mailbox decides before the name.
-   What it adds (spellings, mailboxes) makes the profile richer, so the
-   profiles enter blocking again, until no round merges anything.
-
-The merging runs inside families: evidence connected through surnames (equal or
-one slip apart) and personal mailboxes, found by distributed components.
-
-Scale: records with equal evidence are one node, so a name that a third of all
-records carry is one row. A block of the slip search holds strings that become
-equal by one deletion: at most 27 times their length, whatever the table size.
-Merging is a distributed components step; nothing but counts and the table of
-frequent given names (bounded) reaches the driver.
+   through shared single-character deletions). Linked groups merge into profiles
+   that unite their spellings, initials and mailboxes.
+3. Rounds: profiles enter blocking with all they have. Evidence with an initial
+   or a login only joins a profile if it is the only one that fits (a personal
+   mailbox decides before the equal surname, that before a slip); profiles that
+   now share a full name merge. What is merged makes the profile richer, so the
+   next round blocks again, until nothing merges.
+4. What no profile claims is grouped by equal surname and initial, or mailbox.
+
+Scale: all steps are joins and aggregates on keys. Records with equal evidence
+are one node, so a name that a third of all records carry is one row. A block
+is reduced to its smallest and largest profile before it meets a record (a
+record fits one profile if both are equal), so a hot surname costs one row. A
+block of the slip search holds strings that become equal by one deletion: at
+most 27 times their length, whatever the table size. Only counts and the list of
+given names (at most 1 / GIVEN_SHARE words) reach the driver.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components_by
 from ..session import cut, once
-from .components import components
 
 #: short forms of given names (fixed values, common knowledge)
 NICKNAMES = {
@@ -47,13 +50,7 @@ NICKNAMES = {
     "susanna": "sue susie susi", "theresa": "tess terry tessa", "thomas": "tom tommy", "timothy": "tim", "victoria": "vicky", "vladimir": "vova volodya",
     "william": "will bill billy willy", "zachary": "zach",
 }
-#: further given names, to tell given name from surname (fixed values)
-GIVEN = set(
-    "lotte greta lars priya linh amara dario noor keiko elif nils imani marta farid rosa pavel ingrid bruno sven aisha celine oskar wei zofia olga kenji yara "
-    "viktor tariq ulla hugo anna maria laura julia paul max jan peter eva ivan pedro juan carlos diego sofia lucia elena marco luca giulia pierre jean marie "
-    "claire chen li yuki hiro akira fatima omar ali hassan leila sara emma noah liam olivia karl erik astrid freya".split()
-) | set(NICKNAMES)
-FORMAL = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()} | {g: g for g in GIVEN}
+FORMAL = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()} | {g: g for g in NICKNAMES}
 #: words that make a name an organisation's, in one form (fixed values)
 ORG = {
     "software": "software", "sw": "software", "soft": "software", "systems": "systems", "system": "systems", "sys": "systems", "research": "research", "res": "research",
@@ -64,8 +61,13 @@ ORG = {
 LEGAL = set("inc ltd gmbh ab sa llc co corp plc bv oy ag kg limited incorporated".split())
 #: a mailbox with so many surnames (by their first letters) is nobody's own
 SHARED_SURNAMES = 4
-#: first words with so many different second words are given names
-FREQUENT_GIVEN = 25
+#: least share of a given name in all different full names (so there are at most
+#: 1 / GIVEN_SHARE of them), and least number of different surnames
+GIVEN_SHARE, GIVEN_LEAST = 1e-5, 2
+#: a word so much rarer than one a slip away is a slip of it
+SLIP_OF = 20
+#: records of one author that are paired in one task
+PAIR_BLOCK = 1_000
 
 
 def plain(s: str) -> str:
@@ -252,33 +254,46 @@ class Reader:
 
 
 def _given_names(records: DataFrame) -> set[str]:
-    """First words with many different second words (bounded list)."""
-    w = F.regexp_extract_all(F.lower("name"), F.lit(r"^([a-z]{2,}) [a-z]{3,}$"), 1)
-    rest = F.regexp_extract("name", r"(?i)^[a-z]{2,} ([a-z]{3,})$", 1)
-    rows = records.select(F.get(w, F.lit(0)).alias("g"), F.lower(rest).alias("s")).filter("g IS NOT NULL AND s <> ''")
-    top = rows.groupBy("g").agg(F.approx_count_distinct("s").alias("n")).filter(F.col("n") >= FREQUENT_GIVEN).orderBy(F.desc("n"), "g").limit(5000)
-    return {r.g for r in top.collect()}
+    """Words that stand first before more different second words than the
+    other way round, without slips of more frequent ones."""
+    name = F.lower(F.trim("name"))
+    straight, comma = r"^([a-z]{2,}) ([a-z]{3,})$", r"^([a-z]{3,}), ([a-z]{2,})$"
+    pair = F.when(name.rlike(straight), F.struct(F.regexp_extract(name, straight, 1).alias("g"), F.regexp_extract(name, straight, 2).alias("s"))).when(
+        name.rlike(comma), F.struct(F.regexp_extract(name, comma, 2).alias("g"), F.regexp_extract(name, comma, 1).alias("s"))
+    )
+    none = [*ORG, *LEGAL, "bot", "team"]
+    full = cut(records.select(pair.alias("p")).filter("p IS NOT NULL").select("p.g", "p.s").filter(~F.col("s").isin(none) & ~F.col("g").isin(*none, "the")).distinct())
+    least = max(GIVEN_LEAST, full.count() * GIVEN_SHARE)
+    first = full.groupBy(F.col("g").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    last = full.groupBy(F.col("s").alias("w")).agg(F.count(F.lit(1)).alias("m"))
+    n = cut(first.join(last, "w", "left").filter(F.col("n") > F.coalesce("m", F.lit(0))).select("w", "n"))
+    d = _with_deletions(n.filter("length(w) >= 4"), "w", "d")
+    other = d.select("d", F.col("w").alias("o"), F.col("n").alias("k"))
+    slips = d.join(other, "d").filter((F.col("k") >= SLIP_OF * F.col("n")) & _slip("w", "o")).select("w").distinct()
+    return {r.w for r in n.filter(F.col("n") >= least).join(slips, "w", "left_anti").select("w").collect()}  # at most 1 / GIVEN_SHARE rows
 
 
 def _evidence(records: DataFrame) -> DataFrame:
-    """One row per record: record_id, kind, full array, loose array, box."""
+    """One row per record: record_id, kind, full array (surname|given|1 if the
+    given name is a known one), loose array (surname|initial), box."""
     spark = records.sparkSession
     given = spark.sparkContext.broadcast(_given_names(records))
     # mailboxes that many surnames use: by the first letters of the last word
     last = F.regexp_extract(F.lower("name"), r"([a-z]{4})[a-z]*\W*$", 1)
     box = F.regexp_replace(F.lower(F.trim("email")), r"\+[^@]*@", "@")
-    use = records.select(box.alias("b"), last.alias("l")).filter("b IS NOT NULL AND l <> ''").groupBy("b").agg(F.approx_count_distinct("l").alias("n"))
+    use = records.select(box.alias("b"), last.alias("l")).filter("b IS NOT NULL AND l <> ''").distinct().groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     shared = use.filter(F.col("n") >= SHARED_SURNAMES).filter(~F.col("b").rlike(r"noreply\.")).select("b", F.lit(True).alias("shared"))
     rows = records.withColumn("b", box).join(shared, "b", "left").select("record_id", "name", "email", F.coalesce("shared", F.lit(False)).alias("shared"))
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Reader(given.value)
+        known = set(r.formal.values())
         for f in frames:
             got = [r.read(n, e, s) for n, e, s in zip(f["name"], f["email"], f["shared"])]
             yield pd.DataFrame({
                 "record_id": f["record_id"],
                 "kind": [g["kind"] for g in got],
-                "full": [[f"{s}|{g_}" for s, g_ in g["full"]] for g in got],
+                "full": [[f"{s}|{g_}|{int(g_ in known)}" for s, g_ in g["full"]] for g in got],
                 "loose": [[f"{s}|{i or ''}" for s, i in g["loose"]] for g in got],
                 "box": [g["box"] for g in got],
             })
@@ -300,85 +315,44 @@ def _slip(a: str, b: str):
     return (d <= 1) | swap
 
 
-def resolve_family(rows: list[tuple[int, list[str], list[str], str | None]]) -> dict[int, int]:
-    """Merge and rematch inside one family: (nid, full keys "surname|given",
-    loose keys "surname|initial", mailbox) -> nid of the author."""
-    up = {r[0]: r[0] for r in rows}
-
-    def find(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(x: int, y: int) -> None:
-        x, y = find(x), find(y)
-        up[max(x, y)] = min(x, y)
-
-    # equal spellings, then typing slips between spellings
-    key_row: dict[str, int] = {}
-    mailed: set[str] = set()
-    for nid, full, _, box in rows:
-        for k in full:
-            join(nid, key_row.setdefault(k, nid))
-        if full and box:
-            mailed.add(full[0])
-    seen: dict[tuple[str, str, int], list[str]] = {}
-    for k in sorted(key_row):
-        sn, _, gn = k.partition("|")
-        blocks = [(gn, d, 0) for d in deletions(sn)] if len(sn) >= 6 else []
-        blocks += [(sn, d, 1) for d in deletions(gn)] if len(gn) >= 4 and gn[0] != "#" else []
-        for b in blocks:
-            for o in seen.get(b, ()):
-                so, _, go = o.partition("|")
-                if (b[2] == 0 and not (k in mailed and o in mailed) and one_slip(sn, so)) or (b[2] == 1 and not (gn in GIVEN and go in GIVEN) and one_slip(gn, go)):
-                    join(key_row[k], key_row[o])
-            seen.setdefault(b, []).append(k)
-    # loose evidence joins the only profile that fits; profiles grow and rematch
-    loose = [r for r in rows if not r[1] and (r[2] or r[3])]
-    claimed: set[int] = set()
-    todo = loose
-    while todo:
-        by_key: dict[str, set[tuple[int, str]]] = {}
-        by_box: dict[str, set[int]] = {}
-        initials: dict[int, set[str]] = {}
-        for nid, full, _, _ in rows:
-            for k in full:
-                initials.setdefault(find(nid), set()).add(k.partition("|")[2][0])
-        for nid, full, lo, box in rows:
-            r = find(nid)
-            if r not in initials:
-                continue
-            if box:
-                by_box.setdefault(box, set()).add(r)
-            for k in [*full, *lo]:
-                sn = k.partition("|")[0]
-                for d in deletions(sn) if len(sn) >= 7 else (sn,):
-                    by_key.setdefault(d, set()).add((r, sn))
-        rest = []
-        for row in todo:
-            nid, _, lo, box = row
-            parts = [k.partition("|")[::2] for k in lo]
-            fit = {r for r in by_box.get(box or "", ()) if not parts or any(not i or i in initials[r] for _, i in parts)}
-            exact = {r for sn, i in parts for r, o in by_key.get(sn, ()) if o == sn and (not i or i in initials[r])}
-            slip = {r for sn, i in parts if i and len(sn) >= 7 for d in deletions(sn) for r, o in by_key.get(d, ()) if one_slip(sn, o) and i in initials[r]}
-            best = fit or exact or slip
-            if best:
-                claimed.add(nid)
-            if len(best) == 1:
-                join(nid, next(iter(best)))
-            else:
-                rest.append(row)
-        if len(rest) == len(todo):
-            break
-        todo = rest
-    # what no profile claims: equal surname and initial, or equal mailbox
-    same: dict[str, int] = {}
-    for nid, _, lo, box in loose:
-        if nid not in claimed:
-            for k in [x for x in lo if not x.endswith("|")] + ([f"@{box}"] if box else []):
-                join(nid, same.setdefault(k, nid))
-    return {r[0]: find(r[0]) for r in rows}
+def _part(col: str, i: int):
+    return F.split(F.col(col), "\\|").getItem(i)
+
+
+def _span(df: DataFrame, *key: str) -> DataFrame:
+    """Smallest and largest profile per key."""
+    return df.groupBy(*key).agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+
+
+def _profiles(own: DataFrame) -> DataFrame:
+    """(nid, p): evidence with full names by equal names and slips."""
+    key = cut(own.groupBy("sn", "gn").agg(F.max("known").alias("known"), F.max("mailed").alias("mailed"), F.min("nid").alias("id")))
+    pick = lambda d, by, var, x: d.select(*by, "d", F.col(var).alias(f"v{x}"), F.col("id").alias(f"id{x}"), F.col("mailed").alias(f"m{x}"), F.col("known").alias(f"k{x}"))
+
+    def slips(d: DataFrame, by: str, var: str) -> DataFrame:
+        a, b = (pick(_with_deletions(d, var, "d"), [by], var, x) for x in ("a", "b"))
+        return a.join(b, [by, "d"]).filter("va < vb").filter(_slip("va", "vb"))
+
+    # two mailboxes of their own, or two known given names, are two people
+    x = slips(key.filter("length(sn) >= 6"), "gn", "sn").filter("NOT (ma AND mb)")
+    y = slips(key.filter("length(gn) >= 4 AND NOT startswith(gn, '#')"), "sn", "gn").filter("NOT (ka AND kb)")
+    edges = own.join(key.select("sn", "gn", "id"), ["sn", "gn"]).select(F.col("nid").alias("a"), F.col("id").alias("b"))
+    root = components_by(edges.union(x.select("ida", "idb")).union(y.select("ida", "idb")), [], "a", "b")
+    return own.select("nid").distinct().join(root.withColumnRenamed("node", "nid"), "nid", "left").select("nid", F.coalesce("root", "nid").alias("p"))
+
+
+def _fits(todo: DataFrame, spelled: DataFrame, initial: DataFrame, box: DataFrame) -> DataFrame:
+    """(nid, lo, hi): smallest and largest profile of the best tier that fits
+    a loose record. ``todo`` has nid, sn, i (a row per reading) and box."""
+    any_ = lambda d, c: d.select(c, F.lit("").alias("i"), "p").union(d.join(initial, "p").select(c, "i", "p"))
+    by_box, by_name = _span(any_(box, "box"), "box", "i"), _span(any_(spelled, "sn"), "sn", "i")
+    t1 = todo.filter("box IS NOT NULL").join(by_box, ["box", "i"]).select("nid", F.lit(1).alias("t"), "lo", "hi")
+    t2 = todo.filter("sn IS NOT NULL").join(by_name, ["sn", "i"]).select("nid", F.lit(2).alias("t"), "lo", "hi")
+    q = _with_deletions(todo.filter("length(sn) >= 7 AND i <> ''").select("nid", "sn", "i"), "sn", "d").withColumnRenamed("sn", "sa")
+    k = _with_deletions(by_name.filter("length(sn) >= 7 AND i <> ''"), "sn", "d").withColumnRenamed("sn", "sb")
+    t3 = q.join(k, ["i", "d"]).filter(_slip("sa", "sb")).select("nid", F.lit(3).alias("t"), "lo", "hi")
+    per = t1.union(t2).union(t3).groupBy("nid", "t").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return per.groupBy("nid").agg(F.min(F.struct("t", "lo", "hi")).alias("b")).select("nid", "b.lo", "b.hi")
 
 
 def resolve(records: DataFrame) -> DataFrame:
@@ -389,45 +363,55 @@ def resolve(records: DataFrame) -> DataFrame:
     empty tables give no rows; other columns are ignored.
     """
     rec = once(records.select("record_id", F.col("name").cast("string").alias("name"), F.col("email").cast("string").alias("email")).filter("record_id IS NOT NULL"), "record_id")
-    ev = cut(_evidence(rec))
-    same = ["kind", "full", "loose", "box"]
-    node = cut(ev.groupBy(*same).agg(F.min("record_id").alias("nid")).filter(F.coalesce(F.size("full") + F.size("loose"), F.lit(0)).cast("int") + F.col("box").isNotNull().cast("int") > 0))
-    # families: evidence linked to its surnames, to surnames one slip away and
-    # to its mailbox
-    own = node.select("nid", F.explode("full").alias("k")).select("nid", F.substring_index("k", "|", 1).alias("sn"), F.substring_index("k", "|", -1).alias("gn"))
-    spelled = cut(own.select("sn", "gn").distinct())
-    loose = node.filter("size(full) = 0").select("nid", F.explode("loose").alias("k"))
-    loose = loose.select("nid", "k", F.substring_index("k", "|", 1).alias("sn"), F.substring_index("k", "|", -1).alias("i"))
-    token = lambda kind, c: F.concat(F.lit(kind), F.col(c))
-    row = F.concat(F.lit("R:"), F.col("nid").cast("string"))
-    known = spelled.select("sn", F.substring("gn", 1, 1).alias("g")).distinct()
-    d1 = _with_deletions(spelled.filter("length(sn) >= 6"), "sn", "d")
-    x = d1.select("gn", "d", F.col("sn").alias("sa")).join(d1.select("gn", "d", F.col("sn").alias("sb")), ["gn", "d"]).filter("sa < sb").filter(_slip("sa", "sb"))
-    q = _with_deletions(loose.filter("length(sn) >= 7 AND i <> ''").select("nid", "sn", F.col("i").alias("g")), "sn", "d").withColumnRenamed("sn", "sa")
-    p = _with_deletions(known.filter("length(sn) >= 7"), "sn", "d").withColumnRenamed("sn", "sb")
-    near_ = q.join(p, ["g", "d"]).filter(_slip("sa", "sb"))
-    edges = (
-        own.select(row.alias("a"), token("S:", "sn").alias("b"))
-        .union(x.select(token("S:", "sa"), token("S:", "sb")))
-        .union(loose.join(spelled.select("sn").distinct(), "sn", "left_semi").select(row, token("S:", "sn")))
-        .union(near_.select(row, token("S:", "sb")))
-        .union(loose.filter("i <> ''").select(row, token("L:", "k")))
-        .union(node.filter("box IS NOT NULL").select(row, token("B:", "box")))
-    )
-    family = components(edges).filter(F.col("node").startswith("R:")).select(F.substring("node", 3, 30).cast("bigint").alias("nid"), F.col("root").alias("family"))
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = resolve_family([(int(n), list(f), list(lo), b if isinstance(b, str) else None) for n, f, lo, b in zip(pdf["nid"], pdf["full"], pdf["loose"], pdf["box"])])
-        return pd.DataFrame({"nid": list(got), "entity": list(got.values())})
-
-    merged = node.join(family, "nid").select("family", "nid", "full", "loose", "box").groupBy("family").applyInPandas(merge, "nid bigint, entity bigint")
-    named = node.join(merged, "nid").select(*[F.col(c).alias(f"n_{c}") for c in same], "entity")
-    cond = [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in same]
-    return ev.join(named, cond, "left").select("record_id", F.coalesce("entity", "record_id").alias("entity"))
-
-
-def variant_pairs(records: DataFrame) -> DataFrame:
-    """(record_a, record_b), record_a < record_b, of the same author."""
+    same = F.concat_ws("\1", F.coalesce("kind", F.lit("")), F.array_join("full", ","), F.array_join("loose", ","), F.coalesce("box", F.lit("")))
+    ev = cut(_evidence(rec).withColumn("ev", same))
+    node = cut(ev.filter("size(full) + size(loose) > 0 OR box IS NOT NULL").groupBy("ev").agg(F.min("record_id").alias("nid"), *[F.first(c).alias(c) for c in ("full", "loose", "box")]))
+    own = node.select("nid", "box", F.posexplode("full").alias("pos", "k"))
+    own = cut(own.select("nid", _part("k", 0).alias("sn"), _part("k", 1).alias("gn"), (_part("k", 2) == "1").alias("known"), ((F.col("pos") == 0) & F.col("box").isNotNull()).alias("mailed")))
+    read = F.when(F.size("loose") > 0, F.col("loose")).otherwise(F.array(F.lit(None).cast("string")))
+    loose = node.filter("size(full) = 0").select("nid", "box", F.explode(read).alias("k"))
+    loose = cut(loose.select("nid", "box", _part("k", 0).alias("sn"), F.coalesce(_part("k", 1), F.lit("")).alias("i")))
+    prof = cut(_profiles(own))
+    claimed = None
+    while True:
+        full = own.join(prof, "nid").select("p", "sn", "gn").distinct()
+        initial = full.select("p", F.substring("gn", 1, 1).alias("i")).distinct()
+        mine = prof.join(loose, "nid").filter("sn IS NOT NULL").select("p", "sn")
+        spelled = full.select("p", "sn").union(mine).distinct()
+        box = node.filter("box IS NOT NULL").select("nid", "box").join(prof, "nid").select("p", "box").distinct()
+        fit = cut(_fits(loose.join(prof, "nid", "left_anti"), spelled, initial, box))
+        claimed = fit.select("nid") if claimed is None else claimed.union(fit.select("nid"))
+        new = fit.filter("lo = hi").select("nid", F.col("lo").alias("p"))
+        prof = cut(prof.union(new))
+        # profiles that have come to share a full name
+        mine = prof.join(loose, "nid").filter("sn IS NOT NULL").select("p", "sn")
+        names = spelled.union(mine).distinct().join(full.select("p", "gn").distinct(), "p")
+        twin = names.join(_span(names, "sn", "gn").filter("lo < hi"), ["sn", "gn"]).filter("p <> lo").select(F.col("p").alias("a"), F.col("lo").alias("b")).distinct()
+        root = components_by(twin, [], "a", "b").withColumnRenamed("node", "p")
+        merged = not root.isEmpty()
+        if merged:
+            prof = cut(prof.join(root, "p", "left").select("nid", F.coalesce("root", "p").alias("p")))
+        if new.isEmpty() and not merged:
+            break
+    # what no profile claims: equal surname and initial, or equal mailbox
+    rest = loose.join(claimed, "nid", "left_anti")
+    mark = rest.filter("i <> ''").select("nid", F.concat_ws("|", "sn", "i").alias("k")).union(rest.filter("box IS NOT NULL").select("nid", F.concat(F.lit("@"), "box"))).distinct()
+    link = mark.join(mark.groupBy("k").agg(F.min("nid").alias("b")), "k").select(F.col("nid").alias("a"), "b")
+    alone = components_by(link, [], "a", "b").select(F.col("node").alias("nid"), F.col("root").alias("p"))
+    every = prof.union(alone.join(prof, "nid", "left_anti"))
+    entity = every.join(every.groupBy("p").agg(F.min("nid").alias("entity")), "p").select("nid", "entity")
+    named = node.select("ev", "nid").join(entity, "nid", "left").select("ev", F.coalesce("entity", "nid").alias("entity"))
+    return ev.join(named, "ev", "left").select("record_id", F.coalesce("entity", "record_id").alias("entity"))
+
+
+def variant_pairs(records: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """(record_a, record_b), record_a < record_b, of the same author. The
+    records of one author are cut into blocks, and pairs of blocks are joined,
+    so that an author with many records is no single key."""
     e = cut(resolve(records))
-    a, b = e.select(F.col("record_id").alias("record_a"), "entity"), e.select(F.col("record_id").alias("record_b"), "entity")
-    return a.join(b, "entity").filter("record_a < record_b").select("record_a", "record_b")
+    n = e.groupBy("entity").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    e = e.join(n, "entity").withColumn("x", F.pmod(F.xxhash64("record_id"), F.col("n")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
+    a = e.select(F.col("record_id").alias("record_a"), "entity", "x", every.alias("y"))
+    b = e.select(F.col("record_id").alias("record_b"), "entity", F.col("x").alias("y"), every.alias("x"))
+    return a.join(b, ["entity", "x", "y"]).filter("record_a < record_b").select("record_a", "record_b")

@@ -1,11 +1,8 @@
-"""Name resolution on small fixtures, and components against union-find."""
+"""Name resolution on small fixtures."""
 
 from __future__ import annotations
 
-import random
-
-from strandline.llm.components import components
-from strandline.llm.names import Reader, near, one_slip, variant_pairs
+from strandline.llm.names import Reader, _given_names, near, one_slip, resolve, variant_pairs
 
 
 def test_slips():
@@ -14,7 +11,7 @@ def test_slips():
 
 
 def test_reader():
-    r = Reader(set())
+    r = Reader({"greta", "elif"})
     assert r.read("Kolman, Greta", None, False)["full"] == [("kolman", "greta")]
     assert r.read("gkolman", None, False)["loose"][0] == ("kolman", "g")
     assert r.read("Greta K.", "gkolman@x.example", False)["full"] == [("kolman", "greta")]
@@ -48,20 +45,29 @@ def test_pairs(spark):
     assert variant_pairs(df.limit(0)).collect() == []
 
 
-def test_components(spark):
-    rnd = random.Random(4)
-    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(1000, k) for k in range(1001, 1200)] + [(k, k + 1) for k in range(2000, 2060)]
-    parent = {}
+def test_given_names_are_learned(spark):
+    rows = [(f"{g.title()} {s.title()}", None) for g in ("quill", "brann") for s in ("tolmander", "varminto", "kesselby", "dorvane")]
+    rows += [("Qill Tolmander", None), ("Zimmel Ostrova", None), ("Tolmander Quill", None), ("Ostrova, Brann", None), ("Kild Software", None), ("Brann Software", None)]
+    assert _given_names(spark.createDataFrame(rows, "name string, email string")) == {"quill", "brann"}
+
+
+def test_rounds_make_profiles_richer(spark):
+    # 3 is claimed for its mailbox and brings a surname that 4 fits; 5 fits two
+    rows = [
+        (1, "Maria Kolmander", "maria.kolmander@a.example"), (2, "Milena Kolmander", "milena.kolmander@b.example"), (3, "mvestergaard", "maria.kolmander@a.example"),
+        (4, "M. Kolmander", None), (5, "Maria Dorvane", "m.dorvane@c.example"), (6, "M. Dorvane", None), (7, "mdorvane", None), (8, "dorvane.m", "m.dorvane@c.example"),
+    ]
+    got = {r.record_id: r.entity for r in resolve(spark.createDataFrame(rows, "record_id long, name string, email string")).collect()}
+    assert got[5] == got[6] == got[7] == got[8] == 5 and got[1] == 1 and got[2] == 2 and got[4] == 4
 
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    want = {x: find(x) for x in parent}
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {k: v for k, v in want.items() if k in got} and set(want) - set(got) <= {a for a, b in edges if a == b}
+def test_hot_surname_and_hot_author(spark):
+    given = [a + b for a in "bcdfghklmn" for b in ("ana", "orin", "elvo", "usta")]
+    rows = [(i, f"{given[i % 40].title()} Kolmander", f"{given[i % 40]}.kolmander@a.example" if i % 3 else None) for i in range(2000)]
+    # given names are known as such by a second surname each
+    rows += [(5_000 + i, f"{g.title()} Varmi{g}", None) for i, g in enumerate(given)]
+    rows += [(10_000 + i, "Kild Bot" if i % 2 else "kild[bot]", None) for i in range(300)]
+    df = spark.createDataFrame(rows, "record_id long, name string, email string")
+    e = {r.record_id: r.entity for r in resolve(df).collect()}
+    assert all(e[i] == i % 40 for i in range(2000)) and {e[10_000 + i] for i in range(300)} == {10_000}
+    assert variant_pairs(df, block=64).count() == variant_pairs(df).count() == 40 * (50 * 49 // 2) + 300 * 299 // 2
