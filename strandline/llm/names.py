@@ -367,32 +367,33 @@ def resolve(records: DataFrame) -> DataFrame:
     ev = cut(_evidence(rec).withColumn("ev", same))
     node = cut(ev.filter("size(full) + size(loose) > 0 OR box IS NOT NULL").groupBy("ev").agg(F.min("record_id").alias("nid"), *[F.first(c).alias(c) for c in ("full", "loose", "box")]))
     own = node.select("nid", "box", F.posexplode("full").alias("pos", "k"))
-    own = cut(own.select("nid", _part("k", 0).alias("sn"), _part("k", 1).alias("gn"), (_part("k", 2) == "1").alias("known"), ((F.col("pos") == 0) & F.col("box").isNotNull()).alias("mailed")))
+    own = cut(own.select("nid", "box", _part("k", 0).alias("sn"), _part("k", 1).alias("gn"), (_part("k", 2) == "1").alias("known"), ((F.col("pos") == 0) & F.col("box").isNotNull()).alias("mailed")))
     read = F.when(F.size("loose") > 0, F.col("loose")).otherwise(F.array(F.lit(None).cast("string")))
     loose = node.filter("size(full) = 0").select("nid", "box", F.explode(read).alias("k"))
     loose = cut(loose.select("nid", "box", _part("k", 0).alias("sn"), F.coalesce(_part("k", 1), F.lit("")).alias("i")))
     prof = cut(_profiles(own))
     claimed = None
     while True:
-        full = own.join(prof, "nid").select("p", "sn", "gn").distinct()
-        initial = full.select("p", F.substring("gn", 1, 1).alias("i")).distinct()
-        mine = prof.join(loose, "nid").filter("sn IS NOT NULL").select("p", "sn")
-        spelled = full.select("p", "sn").union(mine).distinct()
-        box = node.filter("box IS NOT NULL").select("nid", "box").join(prof, "nid").select("p", "box").distinct()
-        fit = cut(_fits(loose.join(prof, "nid", "left_anti"), spelled, initial, box))
-        claimed = fit.select("nid") if claimed is None else claimed.union(fit.select("nid"))
-        new = fit.filter("lo = hi").select("nid", F.col("lo").alias("p"))
-        prof = cut(prof.union(new))
+        # what the profiles have by now: full names, surnames, initials, mailboxes
+        mine = prof.join(loose, "nid").select("p", "sn", "box")
+        said = lambda **c: F.explode(F.create_map(*[x for t, v in c.items() for x in (F.lit(t), F.col(v))])).alias("t", "v")
+        held = own.join(prof, "nid").select("p", said(n="sn", g="gn", b="box")).union(mine.select("p", said(n="sn", b="box")))
+        held = cut(held.filter("v IS NOT NULL").distinct())
+        has = lambda t, name: held.filter(F.col("t") == t).select("p", F.col("v").alias(name))  # noqa: B023, E731
         # profiles that have come to share a full name
-        mine = prof.join(loose, "nid").filter("sn IS NOT NULL").select("p", "sn")
-        names = spelled.union(mine).distinct().join(full.select("p", "gn").distinct(), "p")
-        twin = names.join(_span(names, "sn", "gn").filter("lo < hi"), ["sn", "gn"]).filter("p <> lo").select(F.col("p").alias("a"), F.col("lo").alias("b")).distinct()
-        root = components_by(twin, [], "a", "b").withColumnRenamed("node", "p")
-        merged = not root.isEmpty()
-        if merged:
+        names = has("n", "sn").join(has("g", "gn"), "p")
+        twin = cut(names.join(_span(names, "sn", "gn").filter("lo < hi"), ["sn", "gn"]).filter("p <> lo").select(F.col("p").alias("a"), F.col("lo").alias("b")).distinct())
+        if not twin.isEmpty():
+            root = components_by(twin, [], "a", "b").withColumnRenamed("node", "p")
             prof = cut(prof.join(root, "p", "left").select("nid", F.coalesce("root", "p").alias("p")))
-        if new.isEmpty() and not merged:
+            continue
+        initial = has("g", "gn").select("p", F.substring("gn", 1, 1).alias("i")).distinct()
+        fit = cut(_fits(loose.join(prof, "nid", "left_anti"), has("n", "sn"), initial, has("b", "box")))
+        claimed = fit.select("nid") if claimed is None else claimed.union(fit.select("nid"))
+        new = fit.filter("lo = hi").select("nid", F.col("lo").alias("p"))
+        if new.isEmpty():
             break
+        prof = cut(prof.union(new))
     # what no profile claims: equal surname and initial, or equal mailbox
     rest = loose.join(claimed, "nid", "left_anti")
     mark = rest.filter("i <> ''").select("nid", F.concat_ws("|", "sn", "i").alias("k")).union(rest.filter("box IS NOT NULL").select("nid", F.concat(F.lit("@"), "box"))).distinct()
