@@ -86,12 +86,14 @@ class _Lines:
             self.ending[lb] = src[group[0] if group else a : b]
 
 
-def declarations(src: str, language: str) -> list[dict]:
-    """Function and method declarations of a source that lexes."""
+def declarations(src: str, language: str, toks: list | None = None, comments: list[tuple[int, int]] | None = None) -> list[dict]:
+    """Function and method declarations of a source, or of its tokens and
+    comments if they are at hand."""
     from .grammars import lex
 
-    comments: list[tuple[int, int]] = []
-    toks = lex(src, language, comments)
+    if toks is None or comments is None:
+        comments = []
+        toks = lex(src, language, comments)
     at = _Lines(src, comments)
     cls = [t[0] for t in toks]
     word = lambda i: src[toks[i][3] : toks[i][4]]
@@ -574,23 +576,27 @@ def _script(cls, match, n, put, word, toks) -> None:
 
 
 def described(src: str, language: str) -> list[dict]:
-    """Declarations, or none where the source does not parse."""
-    from .grammars import parses
+    """Declarations, or none where the source does not parse. It is read once."""
+    from .grammars import accepts, read
     from .lexers import LexError
 
     src = src.removeprefix("﻿")
     if not src.strip():
         return []
+    comments: list[tuple[int, int]] = []
+    fields: list[tuple[int, int]] = []
     try:
-        got = declarations(src, language)
+        toks = read(src, language, comments, fields)
     except LexError:
         return []
+    try:
+        got = declarations(src, language, toks, comments)
     except (KeyError, IndexError, RecursionError):
         # brackets that do not match; of a text that parses it is our fault
-        if parses(src, language):
+        if accepts(src, language, toks, fields):
             raise
         return []
-    return got if got and parses(src, language) else []
+    return got if got and accepts(src, language, toks, fields) else []
 
 
 _SCHEMA = (

@@ -396,23 +396,38 @@ def _bad_target(toks: list) -> bool:
     return any(b[0] in _ASSIGN and a[0] in _NO_TARGET for a, b in zip(toks, toks[1:]))
 
 
+def read(src: str, language: str, comments: list | None = None, fields: list | None = None) -> list:
+    """Tokens of a source; ``fields`` gets the expressions inside f-strings."""
+    if language == "python":
+        return lex_py(src, PY_WORDS, comments, soft=PY_SOFT, fields=fields)
+    return lex(src, language, comments)
+
+
+def accepts(src: str, language: str, toks: list, fields: list[tuple[int, int]]) -> bool:
+    """Whether some dialect of the language accepts the tokens of a source."""
+    if language == "javascript" and _bad_target(toks):
+        return False
+    g = grammar(language)
+    if language != "python":
+        return g.accepts(g.encode([(t[0], t[1]) for t in toks]))
+    if not g.accepts(g.encode([(t[0], 0) for t in toks])):
+        return False
+    for a, b in fields:
+        try:
+            sub = lex_py(src[a:b].strip(), PY_WORDS, soft=PY_SOFT, expression=True)
+        except LexError:
+            return False
+        if not _py_field().accepts(_py_field().encode([(t[0], 0) for t in sub])):
+            return False
+    return True
+
+
 def parses(src: str, language: str) -> bool:
     """Whether some dialect of the language accepts the source."""
     src = src.removeprefix("﻿")
+    fields: list[tuple[int, int]] = []
     try:
-        if language == "python":
-            fields: list[tuple[int, int]] = []
-            toks = lex_py(src, PY_WORDS, soft=PY_SOFT, fields=fields)
-            ok = grammar(language).accepts(grammar(language).encode([(t[0], 0) for t in toks]))
-            for a, b in fields if ok else ():
-                sub = lex_py(src[a:b].strip(), PY_WORDS, soft=PY_SOFT, expression=True)
-                if not _py_field().accepts(_py_field().encode([(t[0], 0) for t in sub])):
-                    return False
-            return ok
-        toks = lex(src, language)
+        toks = read(src, language, None, fields)
     except LexError:
         return False
-    if language == "javascript" and _bad_target(toks):
-        return False
-    g = grammar(language)
-    return g.accepts(g.encode([(t[0], t[1]) for t in toks]))
+    return accepts(src, language, toks, fields)

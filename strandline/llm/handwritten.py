@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, once
+from ..session import cut, once, tasks
 
 SAMPLE_ROWS = 20_000
 BANDS, ROWS = 20, 3
@@ -90,9 +90,13 @@ def notice(project: str | None, text: str) -> bool:
 
 def blob(text: str) -> bool:
     """Whether the text is almost only literals: data kept as code."""
-    body = _CONTROL.sub("", text)[len(_LEADING.match(text)[0]) :]
-    lit = sum(len(x) for x in _TOKEN.findall(body) if x[0] in "\"'" or x[0].isdigit())
-    return lit > BLOB * max(1, sum(1 for ch in body if not ch.isspace()))
+    body = _CONTROL.sub("", text)
+    body = body[len(_LEADING.match(body)[0]) :]
+    ink = sum(map(len, body.split()))
+    # literals need quotes or digits: most texts have too few of them
+    if not any(q in body for q in "\"'") and sum(map(body.count, "0123456789xabcdefABCDEF._")) <= BLOB * ink:
+        return False
+    return sum(len(x) for x in _TOKEN.findall(body) if x[0] in "\"'" or x[0].isdigit()) > BLOB * max(1, ink)
 
 
 def features(path: str | None, text: str) -> list[float]:
@@ -113,8 +117,8 @@ def features(path: str | None, text: str) -> list[float]:
     return [
         len(zlib.compress(raw, 6)) / max(1, len(raw)), -sum(c / n * math.log2(c / n) for c in count.values()), sum(map(len, ids)) / k,
         sum(len(t) < 3 for t in ids) / k, sum(t.endswith("_") or t.isupper() for t in ids) / k, sum(map(len, _COMMENT.findall(body))) / max(1, len(body)),
-        sum(map(len, lines)) / m, math.log1p(max(map(len, lines), default=0)), math.log1p(sorted(map(len, lines))[m // 2] if lines else 0), 1 - max(map(len, lines), default=0) / max(1, sum(map(len, lines))), math.log1p(len(body)), len(count) / n, sum(ch.isspace() for ch in body) / max(1, len(body)),
-        sum(ch.isdigit() for ch in body) / max(1, len(body)), len(shape) / m, max(shape.values(), default=0) / m,
+        sum(map(len, lines)) / m, math.log1p(max(map(len, lines), default=0)), math.log1p(sorted(map(len, lines))[m // 2] if lines else 0), 1 - max(map(len, lines), default=0) / max(1, sum(map(len, lines))), math.log1p(len(body)), len(count) / n, 1 - sum(map(len, body.split())) / max(1, len(body)),
+        sum(map(body.count, "0123456789")) / max(1, len(body)), len(shape) / m, max(shape.values(), default=0) / m,
         len(re.findall(r"\b[gs]et[A-Z_]\w*|FIELD_NUMBER|_get\(|_set\(", body)) / m, (zlib.crc32(path.rpartition(".")[2].lower().encode()) % 97) / 97,
         float(bool(_VENDOR.search(path))), float(bool(_BUILT.search(path))), float(bool(_GEN_PATH.search(path))), float(bool(_MIN_PATH.search(path))), 0.0, 0.0,
     ]
@@ -265,7 +269,13 @@ def _near_copies(sig: DataFrame, bucket: int = BUCKET) -> DataFrame:
         body = pdf["body"].to_numpy()
         return pdf.assign(leader=body[of])[["band", "parts", "body", "lo", "hi", "sig", "leader"]]
 
-    led = cut(many.groupBy("band", "part").applyInPandas(leaders, schema))
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Many whole parts in one call."""
+        return pd.concat([leaders(g) for _, g in pdf.groupby(["band", "part"], sort=False)])
+
+    many = cut(many)
+    n_calls = max(tasks(sig.sparkSession), many.count() // bucket)
+    led = cut(many.withColumn("__g", F.pmod(F.xxhash64("band", "part"), F.lit(n_calls))).groupBy("__g").applyInPandas(together, schema))
     # leaders of the parts of one bucket
     top = led.filter("parts > 1 AND body = leader").groupBy("band").applyInPandas(leaders, schema).select("band", F.col("body").alias("leader"), F.col("leader").alias("first"))
     of = led.join(top, ["band", "leader"], "left").select("band", "body", "lo", "hi", F.coalesce("first", "leader").alias("leader"))
