@@ -99,22 +99,6 @@ def reverse_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return imp.union(call).distinct().join(ch, ["project_id", "node"], "left_anti")
 
 
-_NODES = "fn AS (SELECT project_id, src AS id FROM edges UNION SELECT project_id, dst FROM edges)"
-_DEAD_T = "('CALLS','EXTENDS','IMPLEMENTS','OVERRIDES','USES')"
-
-
-@R.add(
-    "dead_code",
-    _E + f", {_NODES}, n AS (SELECT project_id, id, id LIKE '%%a.ts' OR id LIKE '%%t.ts' AS is_exported FROM fn), u AS (SELECT DISTINCT project_id, dst AS id FROM edges WHERE type IN {_DEAD_T} AND src <> dst), o AS (SELECT DISTINCT project_id, dst AS id FROM edges WHERE type IN {_DEAD_T} AND src = dst) ".replace("%%", "%")
-    + "SELECT n.project_id, n.id, CASE WHEN o.id IS NOT NULL THEN 'only_self' WHEN is_exported THEN 'no_callers_exported' ELSE 'no_callers_internal' END AS reason, CASE WHEN o.id IS NOT NULL THEN 0.95::DOUBLE WHEN is_exported THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS confidence "
-    "FROM n LEFT JOIN o ON o.project_id = n.project_id AND o.id = n.id WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.project_id = n.project_id AND u.id = n.id)",
-)
-def dead_code(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    n = _file_nodes(e).withColumn("is_exported", F.col("id").endswith("a.ts") | F.col("id").endswith("t.ts"))
-    return G.no_inbound(n, e).select("project_id", "id", "reason", "confidence")
-
-
 @R.add("detect_changes", _E + ", ch AS (SELECT project_id, min(dst) AS node FROM edges GROUP BY 1), dep AS (SELECT DISTINCT e.project_id, e.src AS node FROM edges e JOIN ch ON ch.project_id = e.project_id AND ch.node = e.dst) SELECT project_id, count(*) AS dependents, CASE WHEN count(*) >= 10 THEN 'HIGH' WHEN count(*) >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM dep GROUP BY 1")
 def detect_changes(spark: SparkSession, d: str) -> DataFrame:
     """Inbound dependents of the changed files and their risk."""
@@ -133,20 +117,6 @@ def rename_plan(spark: SparkSession, d: str) -> DataFrame:
     return n.union(t).distinct()
 
 
-@R.add("affected_tests", _E + ", t AS (SELECT project_id, dst AS changed, src AS test FROM edges WHERE src LIKE '%/s%' AND type IN ('IMPORTS', 'CALLS')) SELECT project_id, changed, count(DISTINCT test) AS tests, min(test) AS first_test FROM t GROUP BY 1, 2")
-def affected_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Test files (here: by a path pattern) that import or call a changed file."""
-    t = _edges(spark, d).filter(F.col("src").like("%/s%") & F.col("type").isin("IMPORTS", "CALLS"))
-    return t.groupBy("project_id", F.col("dst").alias("changed")).agg(F.countDistinct("src").alias("tests"), F.min("src").alias("first_test"))
-
-
-@R.add("untested_files", _E + ", t AS (SELECT DISTINCT project_id, dst FROM edges WHERE src LIKE '%/s%' AND type IN ('IMPORTS', 'CALLS')) SELECT DISTINCT project_id, dst AS file FROM edges e WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.project_id = e.project_id AND t.dst = e.dst)")
-def untested_files(spark: SparkSession, d: str) -> DataFrame:
-    e = _edges(spark, d)
-    t = e.filter(F.col("src").like("%/s%") & F.col("type").isin("IMPORTS", "CALLS")).select("project_id", "dst")
-    return e.join(t, ["project_id", "dst"], "left_anti").select("project_id", F.col("dst").alias("file")).distinct()
-
-
 @R.add("list_dependencies", _E + ", i AS (SELECT project_id, split_part(replace(dst, 'File:', ''), '/', 1) || '/' || split_part(replace(dst, 'File:', ''), '/', 2) AS module, src FROM edges WHERE type = 'IMPORTS') SELECT project_id, module, count(*) AS imports, count(DISTINCT src) AS consumers FROM i GROUP BY 1, 2")
 def list_dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Internal modules (first two path segments) by imports and consumers."""

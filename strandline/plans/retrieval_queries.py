@@ -230,19 +230,6 @@ def relative_imports(spark: SparkSession, d: str) -> DataFrame:
     return I.relative_imports(_files(spark, d)).distinct()
 
 
-_RS = """n AS (SELECT project_id, node_id AS id, min(file_path) AS file, min(name) AS name FROM parsed_nodes GROUP BY 1, 2), refs AS (SELECT DISTINCT project_id, file, name FROM n),
-s AS (SELECT project_id, file AS sf, name, id FROM n), same AS (SELECT r.project_id, r.file, r.name, s.id, 0.95::DOUBLE AS tier FROM refs r JOIN s ON s.project_id = r.project_id AND s.name = r.name AND s.sf = r.file),
-al AS (SELECT project_id, name, min(id) AS id FROM s GROUP BY 1, 2 HAVING count(*) = 1), g AS (SELECT r.project_id, r.file, r.name, al.id, 0.5::DOUBLE AS tier FROM refs r JOIN al ON al.project_id = r.project_id AND al.name = r.name),
-e AS (SELECT * FROM same UNION SELECT * FROM g), b AS (SELECT *, max(tier) OVER (PARTITION BY project_id, file, name) AS best FROM e)"""
-
-
-@R.add("tiered_resolution", "WITH " + _RS + " SELECT project_id, file, name, tier, min(id) AS id FROM b WHERE tier = best GROUP BY 1, 2, 3, 4 HAVING count(*) = 1")
-def tiered_resolution(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "parsed_nodes").groupBy("project_id", F.col("node_id").alias("id")).agg(F.min("file_path").alias("file"), F.min("name").alias("name"))
-    none = n.select("project_id", "file", F.lit("").alias("target")).limit(0)
-    return I.resolve_tiers(n.select("project_id", "file", "name").distinct(), n, none)
-
-
 @R.add("heritage_confidence", "SELECT update_id, round(sqrt(confidence * 0.9), 8) AS confidence FROM (SELECT DISTINCT ON (update_id) * FROM relation_updates) WHERE rel_type IN ('EXTENDS', 'IMPLEMENTS')")
 def heritage_confidence(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "relation_updates").dropDuplicates(["update_id"]).filter(F.col("rel_type").isin("EXTENDS", "IMPLEMENTS"))
@@ -331,12 +318,6 @@ def consistency(spark: SparkSession, d: str) -> DataFrame:
     return _jobs(spark, d).groupBy("p").agg(F.count(F.lit(1)).alias("jobs"), F.round(100.0 * F.count_if(F.col("stored_last_commit").isNull()) / F.count(F.lit(1)), 1).alias("fallback_rate"), F.round(age, 1).alias("stale_days"))
 
 
-@R.add("logged_search_quality", "WITH s AS (SELECT DISTINCT query_vec_id, vec_id, rank_no, distance FROM search_results) SELECT query_vec_id, count(*) AS hits, count(*) FILTER (WHERE distance IS NULL) AS no_distance, round(avg(distance), 6) AS mean_distance FROM s GROUP BY 1")
-def logged_search_quality(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "search_results").select("query_vec_id", "vec_id", "rank_no", "distance").distinct()
-    return s.groupBy("query_vec_id").agg(F.count(F.lit(1)).alias("hits"), F.count_if(F.col("distance").isNull()).alias("no_distance"), F.round(F.avg("distance"), 6).alias("mean_distance"))
-
-
 @R.add("event_sessions", "WITH e AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 6 HOUR THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, min(ts) AS first_ts, count(*) AS events, round(sum(value), 4) AS value FROM g GROUP BY user_id, s")
 def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of events with less than six hours between neighbours."""
