@@ -70,3 +70,21 @@ def supersede(facts: DataFrame, key: list[str], order: list[str], frm: str = "va
 def archived(facts: DataFrame, now: str, retention_days: int = 90) -> DataFrame:
     """Marks versions that ended before the retention; nothing is deleted."""
     return facts.withColumn("archived", F.coalesce(F.col("valid_to") < F.timestamp_add("DAY", F.lit(-retention_days), _ts(now)), F.lit(False)))
+
+
+def close_for_nodes(facts: DataFrame, nodes: DataFrame, t: str) -> DataFrame:
+    """Closes, in both times, the open documentation edges of nodes (project_id,
+    id): DESCRIBES to them and DOCUMENTED_BY from them. Closed edges stay as they
+    are, so closing again changes nothing."""
+    end = F.when(F.col("type") == "DESCRIBES", F.col("dst")).when(F.col("type") == "DOCUMENTED_BY", F.col("src"))
+    n = nodes.select("project_id", F.col("id").alias("__id"), F.lit(True).alias("__hit")).distinct()
+    j = facts.withColumn("__id", end).join(n, ["project_id", "__id"], "left")
+    hit = F.col("__hit") & F.col("valid_to").isNull()
+    return j.withColumn("txn_to", F.when(hit, _ts(t)).otherwise(F.col("txn_to"))).withColumn("valid_to", F.when(hit, _ts(t)).otherwise(F.col("valid_to"))).drop("__id", "__hit")
+
+
+def temporal_edges(changes: DataFrame) -> DataFrame:
+    """(project_id, commit_hash, ts, file_path) -> CHANGED_IN edges from files to
+    commits, valid from the commit on."""
+    c = changes.filter("commit_hash IS NOT NULL").select("project_id", F.concat(F.lit("File:"), "file_path").alias("src"), F.concat(F.lit("Commit:"), "commit_hash").alias("dst"), "ts")
+    return c.groupBy("project_id", "src", "dst").agg(F.min("ts").alias("valid_from")).withColumn("type", F.lit("CHANGED_IN"))

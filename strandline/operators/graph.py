@@ -178,6 +178,27 @@ def traces(edges: DataFrame, entries: DataFrame, depth: int = 10, branch: int =
     return best.withColumn("r", F.row_number().over(we)).filter(F.col("r") <= per_entry).drop("r")
 
 
+def process_steps(paths: DataFrame, members: DataFrame) -> DataFrame:
+    """Traces (project_id, entry, path) -> their steps from 1, and whether the
+    trace stays in one community (project_id, node, community) or crosses."""
+    p = paths.withColumn("trace", F.array_join("path", " > ")).select("project_id", "entry", "trace", F.posexplode("path").alias("i", "node"))
+    j = p.join(members.select("project_id", "node", "community"), ["project_id", "node"], "left")
+    kind = j.groupBy("project_id", "trace").agg(F.countDistinct("community").alias("n"))
+    cross = F.when(F.col("n") > 1, "cross_community").otherwise("intra_community")
+    return j.join(kind, ["project_id", "trace"]).select("project_id", "entry", "trace", "node", (F.col("i") + 1).alias("step"), cross.alias("process_type"))
+
+
+#: name patterns of entry points and of helpers (fixed values), and their factors
+ENTRY, HELPER = r"(?i)^(?:handle|on|run|start|main|serve|process|init|dispatch|execute)", r"(?i)^(?:get|set|is|has|to|format|parse|util|helper|log|assert)"
+
+
+def entry_score(calls: Column, callers: Column, name: Column, exported: Column) -> Column:
+    """Calls over callers, doubled for exported symbols, less for helpers, more
+    for names that begin like entry points."""
+    named = F.when(name.rlike(HELPER), 0.3).when(name.rlike(ENTRY), 1.5).otherwise(1.0)
+    return F.round(calls / (callers + 1.0) * F.when(exported, 2.0).otherwise(1.0) * named, 6)
+
+
 def rename_chain(renames: DataFrame, depth: int = 10) -> DataFrame:
     """(project, old, new) -> every (start, current, hops) along the chain, at
     most ``depth`` hops, each start's own path without repeats."""

@@ -226,9 +226,8 @@ def entry_points(spark: SparkSession, d: str) -> DataFrame:
     return c.select("project_id", "node", F.round(F.col("calls") / (F.col("callers") + 1.0) * named, 6).alias("score"))
 
 
-@R.add(
-    "process_traces",
-    _E + ", c AS (SELECT project_id, src, dst, max(confidence) AS confidence FROM edges WHERE type = 'CALLS' AND confidence >= 0.5 AND src <> dst GROUP BY 1, 2, 3), "
+_TRACE = (
+    ", c AS (SELECT project_id, src, dst, max(confidence) AS confidence FROM edges WHERE type = 'CALLS' AND confidence >= 0.5 AND src <> dst GROUP BY 1, 2, 3), "
     "e AS (SELECT project_id, src, dst FROM c QUALIFY row_number() OVER (PARTITION BY project_id, src ORDER BY confidence DESC, dst) <= 4), "
     "en AS (SELECT project_id, src AS node FROM edges WHERE type = 'CALLS' EXCEPT SELECT project_id, dst FROM edges WHERE type = 'CALLS'), "
     "p AS (SELECT project_id, node AS entry, [node] AS path FROM en UNION ALL SELECT p.project_id, p.entry, list_append(p.path, e.dst) FROM p JOIN e ON e.project_id = p.project_id AND e.src = p.path[-1] WHERE len(p.path) < 10 AND NOT list_contains(p.path, e.dst)), "
@@ -236,16 +235,52 @@ def entry_points(spark: SparkSession, d: str) -> DataFrame:
     "r AS (SELECT * FROM q WHERE NOT EXISTS (SELECT 1 FROM q l WHERE l.project_id = q.project_id AND len(l.path) > len(q.path) AND contains(l.s, q.s))), "
     "b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY project_id, entry, path[-1] ORDER BY len(path) DESC, path) = 1), "
     "t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY project_id, entry ORDER BY len(path) DESC, path) <= 12) "
-    "SELECT project_id, entry, array_to_string(path, ' > ') AS trace, len(path) AS steps FROM t",
 )
-def process_traces(spark: SparkSession, d: str) -> DataFrame:
+
+
+def _traces(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
     s = e.filter("type = 'CALLS'")
     entries = s.select("project_id", F.col("src").alias("node")).distinct().join(s.select("project_id", F.col("dst").alias("node")), ["project_id", "node"], "left_anti")
-    t = G.traces(e, entries)
+    return G.traces(e, entries)
+
+
+@R.add("process_traces", _E + _TRACE + "SELECT project_id, entry, array_to_string(path, ' > ') AS trace, len(path) AS steps FROM t")
+def process_traces(spark: SparkSession, d: str) -> DataFrame:
+    t = _traces(spark, d)
     return t.select("project_id", "entry", F.array_join("path", " > ").alias("trace"), F.size("path").alias("steps"))
 
 
+@R.add(
+    "process_steps",
+    _label_sql(5) + _TRACE + ", s AS (SELECT project_id, entry, array_to_string(path, ' > ') AS trace, unnest(path) AS node, generate_subscripts(path, 1) AS step FROM t), "
+    "m AS (SELECT s.*, l5.label FROM s LEFT JOIN l5 ON l5.project_id = s.project_id AND l5.node = s.node), k AS (SELECT project_id, trace, count(DISTINCT label) AS n FROM m GROUP BY 1, 2) "
+    "SELECT m.project_id, entry, m.trace, node, step, CASE WHEN n > 1 THEN 'cross_community' ELSE 'intra_community' END AS process_type FROM m JOIN k ON k.project_id = m.project_id AND k.trace = m.trace",
+)
+def process_steps(spark: SparkSession, d: str) -> DataFrame:
+    members = G.label_propagation(_edges(spark, d).filter("type IN ('CALLS', 'EXTENDS', 'IMPLEMENTS')"))
+    return G.process_steps(_traces(spark, d), members)
+
+
+_SYM = (
+    ", s AS (SELECT DISTINCT project_id, source_id AS src, target_id AS dst FROM relation_updates WHERE rel_type = 'CALLS' AND valid_to IS NULL AND txn_to IS NULL), "
+    "c AS (SELECT project_id, node, count(*) FILTER (WHERE o) AS calls, count(*) FILTER (WHERE NOT o) AS callers FROM (SELECT project_id, src AS node, true AS o FROM s UNION ALL SELECT project_id, dst, false FROM s) GROUP BY 1, 2), "
+    "x AS (SELECT c.*, regexp_extract(node, '([^:]+)$', 1) AS name, coalesce(n.is_exported, false) AS exported FROM c LEFT JOIN nodes n ON n.project_id = c.project_id AND n.id = c.node WHERE calls > 0) "
+)
+
+
+@R.add(
+    "symbol_entry_points",
+    with_("nodes") + _SYM + f"SELECT project_id, node, round(calls / (callers + 1.0) * CASE WHEN exported THEN 2.0 ELSE 1.0 END * CASE WHEN regexp_matches(name, '{G.HELPER}') THEN 0.3 WHEN regexp_matches(name, '{G.ENTRY}') THEN 1.5 ELSE 1.0 END, 6) AS score FROM x",
+)
+def symbol_entry_points(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols by how much they look like entry points."""
+    r = table(spark, d, "relation_updates").filter("rel_type = 'CALLS' AND valid_to IS NULL AND txn_to IS NULL").select("project_id", F.col("source_id").alias("src"), F.col("target_id").alias("dst"), F.lit("CALLS").alias("type")).distinct()
+    c = G.neighbours(r).groupBy("project_id", "node").agg(F.count_if(F.col("direction") == "out").alias("calls"), F.count_if(F.col("direction") == "in").alias("callers")).filter("calls > 0")
+    j = c.join(canon.nodes(spark, d).select("project_id", F.col("id").alias("node"), "is_exported"), ["project_id", "node"], "left")
+    return j.select("project_id", "node", G.entry_score(F.col("calls"), F.col("callers"), F.regexp_extract("node", "([^:]+)$", 1), F.coalesce("is_exported", F.lit(False))).alias("score"))
+
+
 @R.add("method_resolution")
 def method_resolution(spark: SparkSession, d: str) -> DataFrame:
     m = G.method_resolution(_edges(spark, d))

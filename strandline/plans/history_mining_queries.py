@@ -96,6 +96,27 @@ def archived_versions(spark: SparkSession, d: str) -> DataFrame:
     return B.archived(_facts(spark, d), T2).select("update_id", "archived")
 
 
+_END = "TIMESTAMP '2026-01-01'"
+
+
+@R.add(
+    "cross_domain_closed",
+    with_("facts", "edges") + ", g AS (SELECT DISTINCT project_id, dst AS id FROM facts WHERE type = 'DESCRIBES' EXCEPT SELECT project_id, src FROM edges) "
+    f"SELECT update_id, CASE WHEN g.id IS NOT NULL AND valid_to IS NULL THEN {_END} ELSE valid_to END AS valid_to, CASE WHEN g.id IS NOT NULL AND valid_to IS NULL THEN {_END} ELSE txn_to END AS txn_to "
+    "FROM facts f LEFT JOIN g ON g.project_id = f.project_id AND ((f.type = 'DESCRIBES' AND g.id = f.dst) OR (f.type = 'DOCUMENTED_BY' AND g.id = f.src))",
+)
+def cross_domain_closed(spark: SparkSession, d: str) -> DataFrame:
+    """Documentation edges of files without any open edge of their own close."""
+    f = _facts(spark, d)
+    gone = f.filter("type = 'DESCRIBES'").select("project_id", F.col("dst").alias("id")).distinct().join(canon.edges(spark, d).select("project_id", F.col("src").alias("id")), ["project_id", "id"], "left_anti")
+    return B.close_for_nodes(f, gone, "2026-01-01 00:00:00").select("update_id", "valid_to", "txn_to")
+
+
+@R.add("temporal_edges", with_("file_change") + "SELECT project_id, 'File:' || file_path AS src, 'Commit:' || commit_hash AS dst, min(ts) AS valid_from, 'CHANGED_IN' AS type FROM file_change WHERE commit_hash IS NOT NULL GROUP BY 1, 2, 3")
+def temporal_edges(spark: SparkSession, d: str) -> DataFrame:
+    return B.temporal_edges(canon.file_change(spark, d))
+
+
 @R.add("current_edges", with_("edges") + "SELECT project_id, src, dst, type, confidence, reason FROM edges")
 def current_edges(spark: SparkSession, d: str) -> DataFrame:
     return canon.edges(spark, d)

@@ -39,6 +39,30 @@ def delete(spark: SparkSession, path: str, keys: DataFrame, on: list[str], parti
     rest.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
 
 
+def replace_type(spark: SparkSession, path: str, rows: DataFrame, typ: str, partition: str = "project_id") -> None:
+    """Replaces all edges of a type in the projects of ``rows`` by them (as for
+    co-change edges, which are computed anew); other types and projects stay.
+    Without rows nothing is replaced."""
+    rows = cut(rows)
+    touched = rows.select(partition).distinct()
+    if touched.isEmpty():
+        return
+    try:
+        old = spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - no store yet
+        rows.write.partitionBy(partition).parquet(path)
+        return
+    rest = old.join(touched, partition, "left_semi").filter(F.col("type") != typ)
+    cut(rest.unionByName(rows, allowMissingColumns=True)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def orphans(nodes: DataFrame, edges: DataFrame, typ: str) -> DataFrame:
+    """Nodes of a type that no edge of their project touches: what a cascade
+    leaves behind (authors without files, commits without changes)."""
+    used = edges.select("project_id", F.col("src").alias("id")).union(edges.select("project_id", "dst"))
+    return nodes.filter(F.col("type") == typ).join(used, ["project_id", "id"], "left_anti")
+
+
 def edges_with_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose both ends are nodes of the project."""
     ids = nodes.select("project_id", "id").distinct()
