@@ -280,3 +280,66 @@ def method_resolution(edges: DataFrame) -> DataFrame:
             yield pd.DataFrame({"project_id": f["project_id"], "node": f["node"], "mro": [c3(json.loads(m), n) for n, m in zip(f["node"], f["m"])]})
 
     return packed.mapInPandas(order, "project_id string, node string, mro array<string>")
+
+
+#: how a language picks among inherited methods (fixed values; others: first)
+MRO_RULES = {"python": "c3", "cpp": "first", "java": "split", "kotlin": "split", "csharp": "split", "rust": "qualified"}
+
+
+def ancestors(parents: dict[str, list[list[str]]], name: str, rule: str) -> list[tuple[str, bool]]:
+    """Ancestors of a class in the order of its language (C3 where there is
+    one, else by levels) and whether each is reached through an interface.
+    ``parents`` gives [parent, edge type] in order."""
+    seen: dict[str, bool] = {}
+    level = [(p, t == "IMPLEMENTS") for p, t in parents.get(name, [])]
+    while level:
+        fresh = []
+        for p, iface in level:
+            if p != name and p not in seen:
+                seen[p] = iface
+                fresh += [(q, iface or t == "IMPLEMENTS") for q, t in parents.get(p, [])]
+        level = fresh
+    order = c3({k: [p for p, _ in v] for k, v in parents.items()}, name) if rule == "c3" else None
+    return [(p, seen[p]) for p in (order[1:] if order else seen)]
+
+
+def overrides(heritage: DataFrame, classes: DataFrame, methods: DataFrame) -> DataFrame:
+    """Methods that a class inherits from two or more ancestors and does not
+    define itself -> OVERRIDES edge to the one its language picks.
+
+    ``heritage`` (project_id, src, dst, type), ``classes`` (project_id, id,
+    language), ``methods`` (project_id, class, name, id). Python goes by C3,
+    others by levels, first definition .9; Java, Kotlin and C# take a class
+    before interfaces (.95), else the only interface (.85); where nothing
+    decides (several interfaces, Rust) target is null.
+    """
+    h = heritage.filter(F.col("type").isin("EXTENDS", "IMPLEMENTS")).select("project_id", "src", "dst", "type").filter("src <> dst").distinct()
+    up = cut(h.groupBy("project_id", F.col("src").alias("at")).agg(F.array_sort(F.collect_set(F.array("dst", "type"))).alias("parents")))
+    every = cut(up.select("project_id", F.col("at").alias("node"), "at"))
+    front = every
+    while not front.isEmpty():
+        nxt = front.join(up, ["project_id", "at"]).select("project_id", "node", F.explode("parents").alias("p")).select("project_id", "node", F.get("p", F.lit(0)).alias("at")).distinct()
+        front = cut(nxt.join(every, ["project_id", "node", "at"], "left_anti"))
+        every = every.union(front)
+    packed = every.join(up, ["project_id", "at"]).groupBy("project_id", "node").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("at", "parents")))).alias("m"))
+    packed = packed.join(classes.select("project_id", F.col("id").alias("node"), "language"), ["project_id", "node"]).filter("language IS NOT NULL")
+
+    def order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for pid, n, m, lang in zip(f["project_id"], f["node"], f["m"], f["language"]):
+                rule = MRO_RULES.get(lang, "first")
+                out += [(pid, n, rule, i, a, iface) for i, (a, iface) in enumerate(ancestors(json.loads(m), n, rule))]
+            yield pd.DataFrame(out, columns=["project_id", "node", "rule", "pos", "class", "iface"])
+
+    line = packed.mapInPandas(order, "project_id string, node string, rule string, pos int, class string, iface boolean")
+    own = methods.select("project_id", F.col("class").alias("node"), "name")
+    defs = line.join(methods.select("project_id", "class", "name", F.col("id").alias("method")), ["project_id", "class"]).join(own, ["project_id", "node", "name"], "left_anti")
+    first = lambda cond: F.min(F.when(cond, F.struct("pos", "method")))["method"]
+    d = defs.groupBy("project_id", "node", "name", "rule").agg(
+        F.countDistinct("method").alias("n"), first(F.lit(True)).alias("any"), first(~F.col("iface")).alias("klass"), F.count_if("iface").alias("ifaces"), first(F.col("iface")).alias("one"),
+    ).filter("n > 1")
+    split = F.col("rule") == "split"
+    target = F.when(F.col("rule") == "qualified", F.lit(None)).when(split, F.coalesce("klass", F.when(F.col("ifaces") == 1, F.col("one")))).otherwise(F.col("any"))
+    conf = F.when(F.col("rule") == "qualified", 0.5).when(split & F.col("klass").isNotNull(), 0.95).when(split & (F.col("ifaces") == 1), 0.85).when(split, 0.5).otherwise(0.9)
+    return d.select("project_id", F.col("node").alias("src"), "name", target.alias("dst"), conf.alias("confidence"))
