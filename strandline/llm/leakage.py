@@ -19,6 +19,7 @@ is broadcast is bounded; the number of passes grows with the item set only.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,10 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import once, tasks
+from ..session import cut, once
 
 WORD = re.compile(r"[^\W_]+")
 BATCH_WORDS = 1_000_000
+#: answers and bit masks a task keeps for texts that come again
+KEPT = 10_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -140,6 +143,8 @@ class ItemIndex:
                     part = doc[max(0, i + d - budget) : i + d + size + budget]
                     eq = self.eq.get((item, i, size))
                     if eq is None:
+                        if len(self.eq) >= KEPT:
+                            self.eq.clear()
                         eq = self.eq[(item, i, size)] = masks(w[i : i + size])
                     # at least size - budget of the words must be there at all
                     if sum(1 for c in part if c in eq) >= size - budget and within(eq, size, part, budget):
@@ -160,6 +165,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, rate: f
     total = it.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()[0]
     n = max(1, -(-int(total) // batch_words))
     texts = once(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()), "doc_id")
+    if n > 1:
+        texts = cut(texts)  # read and deduplicated once for all batches
     out = []
     for b in range(n):
         batch = [(r.item_id, r.text) for r in it.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == b).toLocalIterator()]
@@ -167,16 +174,17 @@ def leaked_items(docs: DataFrame, items: DataFrame, min_words: int = 20, rate: f
 
         def match(frames: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             own = ItemIndex(*index.value)
-            known: dict[str, list[int]] = {}
+            known: dict[bytes, list[int]] = {}
             for f in frames:
                 d, i = [], []
                 for doc, text in zip(f["doc_id"], f["text"]):
-                    got = known.get(text)
+                    mark = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                    got = known.get(mark)
                     if got is None:
                         got = own.found(text)
-                        if len(known) > 10_000:
+                        if len(known) >= KEPT:
                             known.clear()
-                        known[text] = got
+                        known[mark] = got
                     d += [doc] * len(got)
                     i += got
                 yield pd.DataFrame({"doc_id": pd.Series(d, dtype="int64"), "item_id": pd.Series(i, dtype="int64")})

@@ -19,9 +19,11 @@ whole source. Only per-source totals (one row per target) reach the driver.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,10 +47,14 @@ def source_key(c: Column) -> Column:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """Adds n_tokens of the text (null counts 0)."""
 
+    sc = docs.sparkSession.sparkContext
+    sc.addFile(vocabulary)  # executors need no copy of their own
+    name = os.path.basename(vocabulary)
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for f in frames:
