@@ -37,6 +37,13 @@ def experts(owned: DataFrame) -> DataFrame:
     return best.select("node", (-F.col("b").getField("col2")).alias("author"), F.col("b.ownership").alias("ownership"))
 
 
+def primary_authors(changes: DataFrame) -> DataFrame:
+    """(node, author): who changed a node most often (ties: smaller id)."""
+    per = changes.groupBy("node", "author").agg(F.count(F.lit(1)).alias("n"))
+    best = per.groupBy("node").agg(F.max(F.struct("n", -F.col("author"))).alias("b"))
+    return best.select("node", (-F.col("b").getField("col2")).alias("author"))
+
+
 def bus_factor(primary: DataFrame, threshold: float = 0.5, order: str = "asc") -> DataFrame:
     """Authors that must leave until more than floor(N * threshold) nodes have
     no primary author; authors leave by owned nodes (asc as the reference

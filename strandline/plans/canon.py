@@ -76,11 +76,11 @@ def changed_in(spark: SparkSession, d: str, node: str = "p_brand") -> DataFrame:
     """(node, commit_hash, author, ts): a part column as node, the order as
     commit, the customer as author."""
     li, o, p = (table(spark, d, t) for t in ("lineitem", "orders", "part"))
-    return (
-        li.select("l_partkey", "l_orderkey").join(p.select("p_partkey", F.col(node).cast("string").alias("node")), F.col("l_partkey") == F.col("p_partkey"))
-        .join(o.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select("node", F.col("l_orderkey").alias("commit_hash"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts")).distinct()
-    )
+    p = p.select("p_partkey", F.col(node).cast("string").alias("node"))
+    # an order is one commit: pairs are made distinct before its columns come in
+    pair = li.select("l_partkey", "l_orderkey").join(p, F.col("l_partkey") == F.col("p_partkey")).select("node", "l_orderkey").distinct()
+    o = o.select("o_orderkey", "o_custkey", "o_orderdate")
+    return pair.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("node", F.col("l_orderkey").alias("commit_hash"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"))
 
 
 _CLEAN = r"regexp_replace(replace(p, '\', '/'), '^\./', '')"

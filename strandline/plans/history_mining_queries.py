@@ -173,7 +173,7 @@ ow AS (SELECT author, count(*) AS owned FROM pr GROUP BY 1),
 
 
 def _primary(spark: SparkSession, d: str) -> DataFrame:
-    return C.experts(C.ownership(canon.changed_in(spark, d, "p_partkey"))).select("node", "author")
+    return C.primary_authors(canon.changed_in(spark, d, "p_partkey"))
 
 
 def _bus_sql(order: str) -> str:
