@@ -12,7 +12,7 @@ from strandline.operators import graph as G
 from strandline.operators import lineage as L
 from strandline.operators import resolve as V
 from strandline.operators import routes as U
-from strandline.sources import store
+from strandline.sources import repository, store
 
 
 def test_author_dedup(spark):
@@ -110,3 +110,20 @@ def test_writers(spark, tmp_path):
     want = [("p", "CALLS", None, None), ("p", "DESCRIBES", t0, None), ("p", "DESCRIBES", t1, t1), ("p", "DOCUMENTED_BY", t1, t1), ("q", "DESCRIBES", None, None)]
     for r in (once, B.close_for_nodes(once, gone, "2026-03-01 00:00:00")):
         assert sorted([(x.project_id, x.type, x.valid_to, x.txn_to) for x in r.collect()], key=str) == sorted(want, key=str)
+
+
+def test_git_log_is_read_commit_by_commit(spark, tmp_path):
+    import subprocess
+
+    repo = tmp_path / "r"
+    git = lambda *a: subprocess.run(["git", "-C", str(repo), "-c", "user.name=An", "-c", "user.email=an@x", *a], check=True, capture_output=True)
+    repo.mkdir()
+    git("init", "-q")
+    for i, name in enumerate(("a.txt", "b.txt", "a.txt")):
+        (repo / name).write_text(f"{i}\n")
+        git("add", "-A")
+        git("commit", "-q", "-m", f"step {i} | {name}")
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "r.log").write_text(repository.export_git_log(str(repo)))
+    got = {(r.message, r.change_type, r.file_path, r.email) for r in repository.git_log(spark, str(tmp_path / "log")).collect()}
+    assert got == {("step 0 | a.txt", "added", "a.txt", "an@x"), ("step 1 | b.txt", "added", "b.txt", "an@x"), ("step 2 | a.txt", "modified", "a.txt", "an@x")}
