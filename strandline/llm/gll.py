@@ -158,22 +158,28 @@ class Grammar:
 
         codes = {s: {c for c, _ in members(s)} for s in words | {EOS, "NAME"}}
         cover = lambda ss: set().union(*[codes[s] for s in ss]) if ss else set()
-        self.table: list[dict[int, list[tuple]]] = []
-        for n in names:
-            end = cover(follow[n])
-            for edges, acc in autos[n]:
-                row: dict[int, list[tuple]] = defaultdict(list)
-                for (kind, s), to in edges.items():
-                    if kind == "t":
-                        for c, move in members(s):
-                            row[c].append((0 if move == "t" else 1, offset[n] + to, 0))
-                    else:
-                        for c in cover(first[s]):
-                            row[c].append((2, offset[n] + to, self.nt[s]))
-                if acc:
-                    for c in end:
-                        row[c].append((3, 0, 0))
-                self.table.append(dict(row))
+        first_codes, end_codes = {n: cover(first[n]) for n in names}, {n: cover(follow[n]) for n in names}
+        states = [(n, edges, acc) for n in names for edges, acc in autos[n]]
+
+        def row(state: int) -> dict[int, list[tuple]]:
+            """Moves of a state by token code, made when it is first met."""
+            n, edges, acc = states[state]
+            out: dict[int, list[tuple]] = defaultdict(list)
+            for (kind, s), to in edges.items():
+                if kind == "t":
+                    for c, move in members(s):
+                        out[c].append((0 if move == "t" else 1, offset[n] + to, 0))
+                else:
+                    for c in first_codes[s]:
+                        out[c].append((2, offset[n] + to, self.nt[s]))
+            if acc:
+                for c in end_codes[n]:
+                    out[c].append((3, 0, 0))
+            self.table[state] = dict(out)
+            return self.table[state]
+
+        self.row = row
+        self.table: list[dict[int, list[tuple]] | None] = [None] * len(states)
         self.start = [offset[n] for n in names]
         self.starts = [self.nt[s] for s in starts]
         self.final = {offset[n] + i for n in starts for i, (_, acc) in enumerate(autos[n]) if acc}
@@ -269,7 +275,10 @@ class Grammar:
         while work:
             state, node, pos = work.pop()
             while True:
-                acts = table[state].get(codes[pos])
+                moves = table[state]
+                if moves is None:
+                    moves = self.row(state)
+                acts = moves.get(codes[pos])
                 if pos == n and node is root and state in final:
                     return True
                 if acts is None:
